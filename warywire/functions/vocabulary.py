@@ -13,6 +13,12 @@ SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 DIGIT = r"\p{Nd}"
 WORD = r"\p{L}\p{N}_"
 EMOJI = r"\x{1F300}-\x{1F9FF}"
+UPPER = r"\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+DIGIT_LIKE = (
+    r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
+    r"\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}"
+    r"\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{1F100}-\x{1F10A}"
+)
 
 _S = f"[{SPACE}]*"
 _D = f"[{DIGIT}]"

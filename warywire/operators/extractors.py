@@ -159,10 +159,10 @@ def v2_slang_group(p: Parts) -> dict[str, Column]:
 def v2_style_group(p: Parts) -> dict[str, Column]:
     n = F.length(p.text)
     return {
-        "caps_ratio": X.ratio(X.count_pattern(p.text, r"\p{Lu}"), n),
+        "caps_ratio": X.ratio(X.count_pattern(p.text, f"[{V.UPPER}]"), n),
         "question_density": X.ratio(X.count_pattern(p.text, r"\?"), n),
         "exclamation_density": X.ratio(X.count_pattern(p.text, "!"), n),
-        "number_density": X.ratio(X.count_pattern(p.text, r"\p{Nd}"), n),
+        "number_density": X.ratio(X.count_pattern(p.text, f"[{V.DIGIT_LIKE}]"), n),
         "special_char_density": X.ratio(X.count_pattern(p.text, f"[{V.V2_SPECIAL_CHARS}]"), n),
     }
 

@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
-from . import feature_queries, source_queries  # noqa: F401
+from . import extractor_queries, feature_queries, source_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
