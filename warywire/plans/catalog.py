@@ -1,6 +1,8 @@
 """Loads every module that registers queries."""
 
-from . import extractor_queries, feature_queries, source_queries  # noqa: F401
+from . import (  # noqa: F401
+    evaluation_queries, extractor_queries, feature_queries, source_queries,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
