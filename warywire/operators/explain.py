@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..session import materialize
 from .features import FEATURE_NAMES
 from .ordered import hash_rank, sample_n
 
@@ -73,6 +74,7 @@ def rule_importance(features: DataFrame, label: str = "true_label", threshold: f
     base = features.select(ident, label, "weighted_risk_score", *[F.col(c).cast("int").alias(c) for c in cols])
     if max_rows is not None:
         base = sample_n(base, max_rows, ident)
+    base = materialize(base, "permutation")  # read once per repeat, scored once
     left = hash_rank(base, [], ident, "rows", rank="_rank", total="_n")
     reps = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")
     left = left.select("*", reps)
@@ -109,7 +111,7 @@ def permutation_importance(df: DataFrame, scorer: Scorer, groups: dict[str, Sequ
     ``scorer`` maps rows to rows with ``prediction``. All variants of a group are scored
     together as one table tagged by repeat.
     """
-    rows = df if max_rows is None else sample_n(df, max_rows, ident)
+    rows = materialize(df if max_rows is None else sample_n(df, max_rows, ident), "permutation")
     variants = rows.select("*", F.lit("").alias("feature"), F.lit(0).alias("rep"))
     for name, group in groups.items():
         for rep in range(1, repeats + 1):

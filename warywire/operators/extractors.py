@@ -148,11 +148,11 @@ def category_count(hits: Column) -> Column:
 def v2_slang_group(p: Parts) -> dict[str, Column]:
     hits = X.tokens_in(p.words, p.slang)
     return {
-        "total_slang": F.size(hits),
+        "total_slang": p.hits,
         "unique_slang": F.size(F.array_distinct(hits)),
         "slang_proximity": slang_closeness(p.words, p.slang),
-        "slang_categories": category_count(X.tokens_in(p.words, V.slang_terms())),
-        "slang_density": X.ratio(F.size(hits), F.size(p.words)),
+        "slang_categories": category_count(hits),
+        "slang_density": X.ratio(p.hits, F.size(p.words)),
     }
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 
-PARTS = ("_text", "_low", "_words", "_emojis")
+PARTS = ("_text", "_low", "_words", "_emojis", "_drug", "_slang")
 
 
 @dataclass(frozen=True)
@@ -28,18 +28,26 @@ class Parts:
     low: Column
     words: Column
     emojis: Column
+    drug: Column  # number of drug emojis
+    hits: Column  # number of slang tokens
     slang: tuple[str, ...]
 
 
-def prepare(df: DataFrame, text_col: str = "message_text") -> DataFrame:
+def prepare(df: DataFrame, text_col: str = "message_text", slang: Iterable[str] | None = None) -> DataFrame:
+    """Adds the parts. What a query does not use is pruned from the plan."""
+    terms = tuple(slang) if slang is not None else V.slang_terms()
     df = df.withColumn("_text", X.text_or_empty(F.col(text_col)))
     df = df.withColumn("_low", F.lower("_text"))
-    return df.withColumns({"_words": X.tokens(F.col("_low")), "_emojis": X.emojis(F.col("_text"))})
+    df = df.withColumns({"_words": X.tokens(F.col("_low")), "_emojis": X.emojis(F.col("_text"))})
+    return df.withColumns({
+        "_drug": F.size(X.tokens_in(F.col("_emojis"), V.DRUG_EMOJIS)),
+        "_slang": F.size(X.tokens_in(F.col("_words"), terms)),
+    })
 
 
 def parts(slang: Iterable[str] | None = None) -> Parts:
     terms = tuple(slang) if slang is not None else V.slang_terms()
-    return Parts(F.col("_text"), F.col("_low"), F.col("_words"), F.col("_emojis"), terms)
+    return Parts(*[F.col(c) for c in PARTS], terms)
 
 
 Group = Callable[[Parts], dict[str, Column]]
@@ -52,27 +60,25 @@ def add(df: DataFrame, *groups: Group, text_col: str = "message_text",
     columns: dict[str, Column] = {}
     for group in groups:
         columns.update(group(p))
-    return prepare(df, text_col).withColumns(columns).drop(*PARTS)
+    return prepare(df, text_col, slang).withColumns(columns).drop(*PARTS)
 
 
 # --- groups ---
 def emoji_group(p: Parts) -> dict[str, Column]:
     total = F.size(p.emojis)
-    drug = F.size(X.tokens_in(p.emojis, V.DRUG_EMOJIS))
     return {
         "emoji_count": total,
-        "drug_emoji_count": drug,
-        "has_drug_emoji": X.any_token(p.emojis, V.DRUG_EMOJIS),
-        "drug_emoji_ratio": drug / F.greatest(total, F.lit(1)),
+        "drug_emoji_count": p.drug,
+        "has_drug_emoji": p.drug > 0,
+        "drug_emoji_ratio": p.drug / F.greatest(total, F.lit(1)),
     }
 
 
 def slang_group(p: Parts) -> dict[str, Column]:
-    hits = F.size(X.tokens_in(p.words, p.slang))
     return {
-        "slang_count": hits,
-        "has_slang": X.any_token(p.words, p.slang),
-        "slang_ratio": hits / F.greatest(F.size(p.words), F.lit(1)),
+        "slang_count": p.hits,
+        "has_slang": p.hits > 0,
+        "slang_ratio": p.hits / F.greatest(F.size(p.words), F.lit(1)),
     }
 
 

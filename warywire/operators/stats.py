@@ -126,7 +126,8 @@ def _threshold_counts(preds: DataFrame, thresholds: Sequence[float]) -> DataFram
     """
     levels = sorted(set(float(t) for t in thresholds))
     reached = reduce(lambda a, b: a + b, [(F.col(P) >= t).cast("int") for t in levels])
-    hist = preds.groupBy(reached.alias("bin")).agg(
+    # never null, so the join below infers no null filter that would repeat the scoring expressions
+    hist = preds.groupBy(F.coalesce(reached, F.lit(0)).alias("bin")).agg(
         F.sum((F.col(Y) == 1).cast("long")).alias("pos"), F.sum((F.col(Y) == 0).cast("long")).alias("neg"))
     axis = preds.sparkSession.createDataFrame([(0, None)] + [(i + 1, t) for i, t in enumerate(levels)], "bin int, threshold double")
     full = axis.join(hist, "bin", "left").na.fill(0, ["pos", "neg"])

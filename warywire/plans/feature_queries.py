@@ -60,7 +60,7 @@ FEATURES_SQL = f"""{MESSAGES_SQL}, {PARTS_SQL},
 base AS (SELECT * EXCLUDE (txt, low, words, emo), {BASE_COLS} FROM parts),
 combos AS (SELECT *, {COMBO_COLS} FROM base),
 scored AS (SELECT *, {SCORE_SQL} AS weighted_risk_score FROM combos),
-features AS (SELECT *, CASE WHEN weighted_risk_score >= 8 THEN 'HIGH' WHEN weighted_risk_score >= 4
+features AS MATERIALIZED (SELECT *, CASE WHEN weighted_risk_score >= 8 THEN 'HIGH' WHEN weighted_risk_score >= 4
   THEN 'MEDIUM' ELSE 'LOW' END AS risk_category FROM scored)"""
 
 

@@ -266,7 +266,7 @@ def scored(spark, sf_dir):
 PREDS_SQL = f"""{FEATURES_SQL}, preds0 AS (SELECT *,
   CASE WHEN risk_level IN ('high', 'medium') THEN 1 ELSE 0 END AS true_label,
   weighted_risk_score / {float(V.MAX_SCORE)}::DOUBLE AS probability FROM features),
- preds AS (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS predicted FROM preds0)"""
+ preds AS MATERIALIZED (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS predicted FROM preds0)"""
 
 BAND_SQL = "CASE WHEN probability >= 0.7 THEN 'High' WHEN probability >= 0.4 THEN 'Medium' ELSE 'Low' END"
 
