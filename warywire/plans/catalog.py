@@ -1,7 +1,7 @@
 """Loads every module that registers queries."""
 
 from . import (  # noqa: F401
-    evaluation_queries, extractor_queries, feature_queries, source_queries,
+    evaluation_queries, extractor_queries, feature_queries, source_queries, vector_queries,
 )
 from .registry import QUERIES, SQL
 
