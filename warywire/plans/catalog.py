@@ -1,7 +1,8 @@
 """Loads every module that registers queries."""
 
 from . import (  # noqa: F401
-    evaluation_queries, extractor_queries, feature_queries, source_queries, vector_queries,
+    evaluation_queries, extractor_queries, feature_queries, search_queries,
+    source_queries, vector_queries,
 )
 from .registry import QUERIES, SQL
 
