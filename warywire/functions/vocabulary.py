@@ -10,6 +10,11 @@ from __future__ import annotations
 
 # --- character classes (contents, to be used inside [...]) ---
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# the same white space as characters
+SPACE_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
 DIGIT = r"\p{Nd}"
 WORD = r"\p{L}\p{N}_"
 EMOJI = r"\x{1F300}-\x{1F9FF}"
@@ -123,19 +128,27 @@ V3_DRUG_EMOJIS = ("💊", "🔌", "💉")
 V3_MONEY_EMOJIS = ("💵", "📦", "💰")
 _EDGE = f"(?:^|[^{WORD}])"
 _END = f"(?:[^{WORD}]|$)"
-V3_URGENT_TIME_RX = rf"(?:asap|urgent|quick|now){_S}(?:{_D}|am|pm)"
+# words that must occur for a pattern to match
+V3_URGENT_TIME = ("asap", "urgent", "quick", "now")
+V3_LATE = ("tonight", "later")
+V3_LOCATION = ("spot", "place", "location", "corner", "back", "behind")
+V3_QUANTITY = ("exactly", "precise", "pure", "clean")
+V3_PRICE = ("price", "cost")
+V3_URGENCY = ("limited", "only", "few", "last", "remaining", "won't last", "going fast")
+V3_DISCRETION = ("private", "discrete", "secret", "secure", "safe", "trusted", "verified")
+V3_QUALITY = ("premium", "pure", "clean", "tested", "lab", "authentic", "genuine", "real")
+V3_TRANSACTION = ("deal", "offer", "discount", "bulk", "wholesale", "minimum", "sample")
+V3_URGENT_TIME_RX = rf"(?:{'|'.join(V3_URGENT_TIME)}){_S}(?:{_D}|am|pm)"
 V3_LATE_RX = (
-    rf"{_EDGE}(?:2[0-3]|[1-9]|1[0-9])(?::{_D}{_D})?{_S}(?:pm|am)?{_S}(?:tonight|later)"
+    rf"{_EDGE}(?:2[0-3]|[1-9]|1[0-9])(?::{_D}{_D})?{_S}(?:pm|am)?{_S}(?:{'|'.join(V3_LATE)})"
 )
-V3_LOCATION_RX = (
-    rf"{_EDGE}(?:spot|place|location|corner|back|behind)[{SPACE}]+(?:usual|safe|private|quiet|discrete)"
-)
-V3_QUANTITY_RX = rf"{_EDGE}(?:exactly|precise|pure|clean)[{SPACE}]+{_D}"
-V3_PRICE_RX = rf"{_EDGE}(?:price|cost){_S}(?:neg|flexible|firm|fixed)"
-V3_URGENCY_RX = rf"{_EDGE}(?:limited|only|few|last|remaining|won't last|going fast){_END}"
-V3_DISCRETION_RX = rf"{_EDGE}(?:private|discrete|secret|secure|safe|trusted|verified){_END}"
-V3_QUALITY_RX = rf"{_EDGE}(?:premium|pure|clean|tested|lab|authentic|genuine|real){_END}"
-V3_TRANSACTION_RX = rf"{_EDGE}(?:deal|offer|discount|bulk|wholesale|minimum|sample){_END}"
+V3_LOCATION_RX = rf"{_EDGE}(?:{'|'.join(V3_LOCATION)})[{SPACE}]+(?:usual|safe|private|quiet|discrete)"
+V3_QUANTITY_RX = rf"{_EDGE}(?:{'|'.join(V3_QUANTITY)})[{SPACE}]+{_D}"
+V3_PRICE_RX = rf"{_EDGE}(?:{'|'.join(V3_PRICE)}){_S}(?:neg|flexible|firm|fixed)"
+V3_URGENCY_RX = rf"{_EDGE}(?:{'|'.join(V3_URGENCY)}){_END}"
+V3_DISCRETION_RX = rf"{_EDGE}(?:{'|'.join(V3_DISCRETION)}){_END}"
+V3_QUALITY_RX = rf"{_EDGE}(?:{'|'.join(V3_QUALITY)}){_END}"
+V3_TRANSACTION_RX = rf"{_EDGE}(?:{'|'.join(V3_TRANSACTION)}){_END}"
 
 # --- input checks ---
 UNSAFE_RX = (

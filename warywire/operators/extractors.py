@@ -25,20 +25,20 @@ def v1_emoji_group(p: Parts) -> dict[str, Column]:
 
 def v1_context_group(p: Parts) -> dict[str, Column]:
     return {
-        "urgent_time": X.any_substring(p.low, V.V1_URGENT_TIME),
-        "late_hours": X.any_substring(p.low, V.V1_LATE_HOURS),
-        "discrete_location": X.any_substring(p.low, V.V1_LOCATION),
+        "urgent_time": X.any_substring("_low", V.V1_URGENT_TIME),
+        "late_hours": X.any_substring("_low", V.V1_LATE_HOURS),
+        "discrete_location": X.any_substring("_low", V.V1_LOCATION),
         "precise_quantity": p.low.rlike(V.V1_QUANTITY_RX),
-        "price_negotiation": X.any_substring(p.low, V.V1_PRICE) | p.low.rlike(V.V1_PRICE_RX),
+        "price_negotiation": X.any_substring("_low", V.V1_PRICE) | p.low.rlike(V.V1_PRICE_RX),
     }
 
 
 def v1_behavior_group(p: Parts) -> dict[str, Column]:
     return {
-        "urgency_tactics": X.any_substring(p.low, V.V1_URGENCY),
-        "discretion_terms": X.any_substring(p.low, V.V1_DISCRETION),
-        "quality_terms": X.any_substring(p.low, V.V1_QUALITY),
-        "transaction_terms": X.any_substring(p.low, V.V1_TRANSACTION),
+        "urgency_tactics": X.any_substring("_low", V.V1_URGENCY),
+        "discretion_terms": X.any_substring("_low", V.V1_DISCRETION),
+        "quality_terms": X.any_substring("_low", V.V1_QUALITY),
+        "transaction_terms": X.any_substring("_low", V.V1_TRANSACTION),
     }
 
 
@@ -146,7 +146,7 @@ def category_count(hits: Column) -> Column:
 
 
 def v2_slang_group(p: Parts) -> dict[str, Column]:
-    hits = X.tokens_in(p.words, p.slang)
+    hits = X.tokens_in("_words", p.slang)
     return {
         "total_slang": p.hits,
         "unique_slang": F.size(F.array_distinct(hits)),
@@ -171,12 +171,16 @@ def v2_style_group(p: Parts) -> dict[str, Column]:
 def slang_hits(low: Column) -> Column:
     """Lexicon terms at word boundaries, leftmost first, the longest term winning."""
     edge = f"[{V.WORD}]"
-    rx = f"(?<!{edge})(?:{X.alternation(V.slang_terms())})(?!{edge})"
+    rx = f"(?<!{edge})(?:{X.grouped_alternation(V.slang_terms())})(?!{edge})"
     return F.regexp_extract_all(low, F.lit(rx), F.lit(0))
 
 
 def emoji_hits(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(X.alternation(V.emoji_terms())), F.lit(0))
+    """Occurrences of lexicon emojis, longest entry first. The range test skips plain letters
+    before any entry is tried."""
+    lowest = min(ord(e[0]) for e in V.emoji_terms())
+    rx = f"(?=[\\x{{{lowest:X}}}-\\x{{10FFFF}}])(?:{X.grouped_alternation(V.emoji_terms())})"
+    return F.regexp_extract_all(text, F.lit(rx), F.lit(0))
 
 
 def lexicon_group(p: Parts) -> dict[str, Column]:
@@ -184,9 +188,9 @@ def lexicon_group(p: Parts) -> dict[str, Column]:
         "slang_hits": F.size(slang_hits(p.low)),
         "emoji_hits": F.size(emoji_hits(p.text)),
         "currency_count": X.count_pattern(p.text, V.LEX_CURRENCY_RX),
-        "contact_flag": X.any_substring(p.low, V.LEX_CONTACT),
-        "available_flag": X.any_substring(p.low, V.LEX_AVAILABLE),
-        "payment_flag": X.any_substring(p.low, V.LEX_PAYMENT),
+        "contact_flag": X.any_substring("_low", V.LEX_CONTACT),
+        "available_flag": X.any_substring("_low", V.LEX_AVAILABLE),
+        "payment_flag": X.any_substring("_low", V.LEX_PAYMENT),
     }
 
 
@@ -208,20 +212,20 @@ def v3_emoji_group(p: Parts) -> dict[str, Column]:
 
 def v3_context_group(p: Parts) -> dict[str, Column]:
     return {
-        "urgent_time": p.low.rlike(V.V3_URGENT_TIME_RX),
-        "late_hours": p.low.rlike(V.V3_LATE_RX),
-        "discrete_location": p.low.rlike(V.V3_LOCATION_RX),
-        "precise_quantity": p.low.rlike(V.V3_QUANTITY_RX),
-        "price_negotiation": p.low.rlike(V.V3_PRICE_RX),
+        "urgent_time": X.guarded("_low", V.V3_URGENT_TIME, V.V3_URGENT_TIME_RX),
+        "late_hours": X.guarded("_low", V.V3_LATE, V.V3_LATE_RX),
+        "discrete_location": X.guarded("_low", V.V3_LOCATION, V.V3_LOCATION_RX),
+        "precise_quantity": X.guarded("_low", V.V3_QUANTITY, V.V3_QUANTITY_RX),
+        "price_negotiation": X.guarded("_low", V.V3_PRICE, V.V3_PRICE_RX),
     }
 
 
 def v3_behavior_group(p: Parts) -> dict[str, Column]:
     return {
-        "urgency_tactics": p.low.rlike(V.V3_URGENCY_RX),
-        "discretion_terms": p.low.rlike(V.V3_DISCRETION_RX),
-        "quality_terms": p.low.rlike(V.V3_QUALITY_RX),
-        "transaction_terms": p.low.rlike(V.V3_TRANSACTION_RX),
+        "urgency_tactics": X.guarded("_low", V.V3_URGENCY, V.V3_URGENCY_RX),
+        "discretion_terms": X.guarded("_low", V.V3_DISCRETION, V.V3_DISCRETION_RX),
+        "quality_terms": X.guarded("_low", V.V3_QUALITY, V.V3_QUALITY_RX),
+        "transaction_terms": X.guarded("_low", V.V3_TRANSACTION, V.V3_TRANSACTION_RX),
     }
 
 

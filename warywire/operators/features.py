@@ -40,8 +40,8 @@ def prepare(df: DataFrame, text_col: str = "message_text", slang: Iterable[str]
     df = df.withColumn("_low", F.lower("_text"))
     df = df.withColumns({"_words": X.tokens(F.col("_low")), "_emojis": X.emojis(F.col("_text"))})
     return df.withColumns({
-        "_drug": F.size(X.tokens_in(F.col("_emojis"), V.DRUG_EMOJIS)),
-        "_slang": F.size(X.tokens_in(F.col("_words"), terms)),
+        "_drug": F.size(X.tokens_in("_emojis", V.DRUG_EMOJIS)),
+        "_slang": F.size(X.tokens_in("_words", terms)),
     })
 
 
@@ -102,35 +102,35 @@ def quantity_group(p: Parts) -> dict[str, Column]:
 
 
 def location_group(p: Parts) -> dict[str, Column]:
-    return {"has_location": X.any_substring(p.low, V.LOCATION) | p.low.rlike(V.LOCATION_RX)}
+    return {"has_location": X.any_substring("_low", V.LOCATION) | p.low.rlike(V.LOCATION_RX)}
 
 
 def urgency_group(p: Parts) -> dict[str, Column]:
-    return {"has_urgency": X.any_substring(p.low, V.URGENCY)}
+    return {"has_urgency": X.any_substring("_low", V.URGENCY)}
 
 
 def discretion_group(p: Parts) -> dict[str, Column]:
-    return {"has_discretion": X.any_substring(p.low, V.DISCRETION)}
+    return {"has_discretion": X.any_substring("_low", V.DISCRETION)}
 
 
 def quality_group(p: Parts) -> dict[str, Column]:
-    return {"has_quality": X.any_substring(p.low, V.QUALITY)}
+    return {"has_quality": X.any_substring("_low", V.QUALITY)}
 
 
 def transaction_group(p: Parts) -> dict[str, Column]:
-    return {"has_transaction": X.any_substring(p.low, V.TRANSACTION)}
+    return {"has_transaction": X.any_substring("_low", V.TRANSACTION)}
 
 
 def payment_group(p: Parts) -> dict[str, Column]:
-    return {"has_payment": X.any_substring(p.low, V.PAYMENT)}
+    return {"has_payment": X.any_substring("_low", V.PAYMENT)}
 
 
 def time_group(p: Parts) -> dict[str, Column]:
-    return {"has_time": X.any_substring(p.low, V.TIME)}
+    return {"has_time": X.any_substring("_low", V.TIME)}
 
 
 def greeting_group(p: Parts) -> dict[str, Column]:
-    return {"has_normal_greeting": X.any_substring(p.low, V.GREETING)}
+    return {"has_normal_greeting": X.any_substring("_low", V.GREETING)}
 
 
 def style_group(p: Parts) -> dict[str, Column]:

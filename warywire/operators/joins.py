@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vocabulary as V
 from ..session import bounded_broadcast
+from .extractors import emoji_hits
 
 
 def exploded_tokens(msgs: DataFrame) -> DataFrame:
@@ -33,11 +33,6 @@ def slang_categories(msgs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return hits.groupBy("message_id").agg(F.countDistinct("category").alias("n_categories"))
 
 
-def emoji_hits(c) -> F.Column:
-    """Occurrences of lexicon emojis, longest entry first."""
-    return F.regexp_extract_all(c, F.lit(X.alternation(V.emoji_terms())), F.lit(0))
-
-
 def emoji_categories(msgs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Emoji occurrences per message and category: (message_id, category, n)."""
     pairs = lexicon.select("emoji", F.col("drug_category").alias("category")).distinct()

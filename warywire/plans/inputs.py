@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..session import spread
 from .phrases import PHRASES
 
 PLATFORMS = {"click": "Telegram", "error": "Discord", "purchase": "WhatsApp", "signup": "Signal", "view": "Reddit"}
@@ -18,7 +19,7 @@ P = len(PHRASES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

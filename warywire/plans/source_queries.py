@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import conform as C
+from ..operators import extractors as E
 from ..operators import features as FE
 from ..operators import joins as J
 from ..session import fresh_path
@@ -59,7 +60,7 @@ def scan_lexicons(spark, sf_dir):
                                        F.col("drug_category").alias("category")))
     msgs = messages(spark, sf_dir)
     words = J.exploded_tokens(msgs).select(F.col("token").alias("term"))
-    hits = msgs.select(F.explode(J.emoji_hits(X.text_or_empty(F.col("message_text")))).alias("term"))
+    hits = msgs.select(F.explode(E.emoji_hits(X.text_or_empty(F.col("message_text")))).alias("term"))
     seen = words.unionByName(hits).groupBy("term").agg(F.count("*").alias("n"))
     return lex.join(seen, "term", "left").select("kind", "term", "category", F.coalesce("n", F.lit(0)).alias("uses"))
 

@@ -73,3 +73,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that was read in fewer splits than there are cores out to all cores.
+
+    Only small inputs are touched (one short file would otherwise keep one core busy with
+    all the text work); a table of many splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
