@@ -20,11 +20,10 @@ def hash_key(ident: Column, seed: object) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string")))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+def _key(by: Sequence[str], bucket: str) -> Column:
+    """Group and bucket as one struct. A struct is never null and nulls inside it compare
+    equal, so the window and the join below share one partitioning also for null groups."""
+    return F.struct(*by, bucket)
 
 
 def _offsets(counts: DataFrame, by: Sequence[str], bucket: str, sums: Sequence[str]) -> DataFrame:
@@ -32,7 +31,7 @@ def _offsets(counts: DataFrame, by: Sequence[str], bucket: str, sums: Sequence[s
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     return counts.select(
-        *by, bucket,
+        _key(by, bucket).alias("_k"), F.col(bucket).alias("_last"),
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums],
         *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums],
     )
@@ -49,11 +48,10 @@ def hash_rank(df: DataFrame, by: Sequence[str], ident: str, seed: object = 42,
     keyed = df.withColumn("_h", hash_key(F.col(ident), seed)).withColumn("_b", F.substring("_h", 1, digits))
     counts = keyed.groupBy(*by, "_b").agg(F.count("*").alias("n"))
     offsets = _offsets(counts, by, "_b", ["n"])
-    within = Window.partitionBy(*by, "_b").orderBy("_h", ident)
-    ranked = keyed.withColumn("_r", F.row_number().over(within))
-    joined = ranked.join(offsets, _null_safe(ranked, offsets, [*by, "_b"]))
-    return joined.select(
-        *[ranked[c] for c in df.columns],
+    within = Window.partitionBy("_k").orderBy("_h", ident)
+    ranked = keyed.withColumn("_k", _key(by, "_b")).withColumn("_r", F.row_number().over(within))
+    return ranked.join(offsets, "_k").select(
+        *df.columns,
         (F.col("before_n") + F.col("_r")).alias(rank),
         F.col("total_n").alias(total),
     )
@@ -67,7 +65,7 @@ def sample_n(df: DataFrame, n: int = 5000, ident: str = "message_id", seed: obje
     """
     keyed = df.withColumn("_h", hash_key(F.col(ident), seed))
     counts = keyed.groupBy(F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("n"))
-    last = _offsets(counts, [], "_b", ["n"]).filter(F.col("before_n") < n).agg(F.max("_b")).first()[0]
+    last = _offsets(counts, [], "_b", ["n"]).filter(F.col("before_n") < n).agg(F.max("_last")).first()[0]
     if last is None:
         return df
     near = keyed.filter(F.substring("_h", 1, digits) <= last)
@@ -93,11 +91,10 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str],
     offsets = _offsets(totals, by, "_part", sums)
     if not by:  # at most one row per shuffle partition
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy(*by, "_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    summed = pinned.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums})
-    joined = summed.join(offsets, _null_safe(summed, offsets, [*by, "_part"]))
-    return joined.select(
-        *[summed[c] for c in df.columns],
+    within = Window.partitionBy("_k").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    summed = pinned.withColumn("_k", _key(by, "_part")).withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums})
+    return summed.join(offsets, "_k").select(
+        *df.columns,
         *[(F.col(f"cum_{c}") + F.col(f"before_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.col(f"total_{c}") for c in sums],
     )
@@ -130,10 +127,9 @@ def running_count(df: DataFrame, by: Sequence[str], order: str, bucket: Column,
     """
     keyed = df.withColumn("_b", bucket)
     offsets = _offsets(keyed.groupBy(*by, "_b").agg(F.count("*").alias("n")), by, "_b", ["n"])
-    within = Window.partitionBy(*by, "_b").orderBy(order, ident)
-    ranked = keyed.withColumn("_r", F.row_number().over(within))
-    joined = ranked.join(offsets, _null_safe(ranked, offsets, [*by, "_b"]))
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("before_n") + F.col("_r")).alias(out))
+    within = Window.partitionBy("_k").orderBy(order, ident)
+    ranked = keyed.withColumn("_k", _key(by, "_b")).withColumn("_r", F.row_number().over(within))
+    return ranked.join(offsets, "_k").select(*df.columns, (F.col("before_n") + F.col("_r")).alias(out))
 
 
 def last_n(df: DataFrame, n: int = 6, order: Sequence[str] = ("ts", "message_id")) -> DataFrame:

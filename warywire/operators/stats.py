@@ -201,7 +201,7 @@ def label_correlation(df: DataFrame, cols: Sequence[str], label: str) -> DataFra
     """Pearson r of each numeric column with the label, highest first; null without variance."""
     def r(c: str) -> Column:
         spread = F.stddev_pop(c) * F.stddev_pop(label)
-        return F.when(spread > 0, F.corr(c, label)).alias(c)
+        return F.try_divide(F.covar_pop(c, label), spread).alias(c)
 
     one = df.agg(*[r(c) for c in cols])
     return one.unpivot([], list(cols), "feature", "r").orderBy(F.col("r").desc_nulls_last(), "feature")

@@ -48,7 +48,11 @@ def trained(spark, sf_dir, kind):
 
 
 def held_out(spark, sf_dir, kind):
-    return M.predictions(trained(spark, sf_dir, kind), split(spark, sf_dir)[1])
+    key = (spark.sparkContext.applicationId, sf_dir, kind, "held out")
+    if key not in _CACHE:
+        scored = M.predictions(trained(spark, sf_dir, kind), split(spark, sf_dir)[1])
+        _CACHE[key] = materialize(scored.select("message_id", "true_label", "predicted", "probability"), "held-out")
+    return _CACHE[key]
 
 
 def _register_training(kind, name):
