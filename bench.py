@@ -19,7 +19,7 @@ HEADLINE = (
     "risk_category_by_platform", "validate_messages", "tfidf_vocabulary", "tfidf_weights", "stratified_split",
     "threshold_sweep", "roc_auc", "classification_report", "latency_summary", "explain_linear_score",
     "permutation_importance", "semantic_search", "knn_join", "smote_balance", "interaction_frequency", "pagerank",
-    "resumable_ingest", "stream_traffic_stats", "train_logistic", "score_batch",
+    "resumable_ingest", "stream_traffic_stats", "train_logistic", "train_boosted_trees", "score_batch",
 )
 
 

@@ -7,7 +7,6 @@ metric is a few conditional sums over one pass, or a running total over distinct
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,7 +124,9 @@ def _threshold_counts(preds: DataFrame, thresholds: Sequence[float]) -> DataFram
     counts at a threshold are then sums over at most len(thresholds) + 1 bins.
     """
     levels = sorted(set(float(t) for t in thresholds))
-    reached = reduce(lambda a, b: a + b, [(F.col(P) >= t).cast("int") for t in levels])
+    # the score is bound once, as p, and compared with each level
+    array = ", ".join(f"{t!r}D" for t in levels)
+    reached = F.expr(f"transform(array({P}), p -> size(filter(array({array}), t -> t <= p)))[0]")
     # never null, so the join below infers no null filter that would repeat the scoring expressions
     hist = preds.groupBy(F.coalesce(reached, F.lit(0)).alias("bin")).agg(
         F.sum((F.col(Y) == 1).cast("long")).alias("pos"), F.sum((F.col(Y) == 0).cast("long")).alias("neg"))
