@@ -177,3 +177,12 @@ def test_ego_radius(spark):
     assert G.ego_network(chain, "b").count() == 2
     assert G.ego_network(chain, "b", radius=2).count() == 3
     assert G.ego_network(chain, "nobody").count() == 0
+
+
+def test_hot_join_equals_plain_join(spark):
+    from warywire.operators.skew import hot_join
+    left = spark.range(900).select(F.col("id").alias("q"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
+    right = spark.createDataFrame([(i, f"v{j}") for i in range(45) for j in range(2)], "k long, v string")
+    got = hot_join(left, right, "k", "q", min_rows=50)
+    want = left.join(right, "k")
+    assert got.count() == want.count() and got.select("q", "k", "v").exceptAll(want.select("q", "k", "v")).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
 from .ranking import first_edges
+from .skew import hot_join
 
 
 def interactions_to_edges(interactions: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_ite
         return spark.createDataFrame([], "id string, pagerank double")
 
     table = f"pagerank_{uuid.uuid4().hex}"
-    shares = edges.join(out.filter("out <> 0"), "src").select(
+    shares = hot_join(edges, out.filter("out <> 0"), "src", "dst", hub_edges).select(
         "src", F.pmod(F.xxhash64("dst"), F.ceil(F.col("n_out") / hub_edges)).cast("int").alias("piece"), "dst",
         (F.col("weight") / F.col("out")).alias("share"))
     (shares.repartition(parts, "src", "piece").write.bucketBy(parts, "src", "piece").sortBy("src", "piece")

@@ -76,16 +76,27 @@ def prepared(df: DataFrame) -> DataFrame:
     return materialize(df, "design")
 
 
-def fit_prepared(rows: DataFrame, kind: str, label: str = "label", seed: int = 42, tfidf_size: int = 200, **params) -> PipelineModel:
-    """Fit the matrix stages and a classifier on ``prepared`` rows; returns the whole pipeline."""
+def fit_matrix(rows: DataFrame, tfidf_size: int = 200) -> PipelineModel:
+    """The design matrix stages, fitted on ``prepared`` rows."""
+    return Pipeline(stages=design_matrix_stages(tfidf_size)).fit(rows)
+
+
+def fit_classifier(matrix: DataFrame, kind: str, label: str = "label", seed: int = 42, **params):
+    """A classifier fitted on rows that carry the scaled design matrix."""
     options = {**SETTINGS[kind], **params, "featuresCol": "scaled", "labelCol": label}
     if kind not in ("logistic", "svm"):
         options["seed"] = seed
     if WEIGHTS[kind]:
-        rows = ST.with_class_weight(rows, WEIGHTS[kind], label)
+        matrix = ST.with_class_weight(matrix, WEIGHTS[kind], label)
         options["weightCol"] = "weight"
-    tail = Pipeline(stages=[*design_matrix_stages(tfidf_size), CLASSES[kind](**options)]).fit(rows)
-    return PipelineModel([*row_stages(), *tail.stages])
+    return CLASSES[kind](**options).fit(matrix)
+
+
+def fit_prepared(rows: DataFrame, kind: str, label: str = "label", tfidf_size: int = 200, **params) -> PipelineModel:
+    """Fit the matrix stages and a classifier on ``prepared`` rows; returns the whole pipeline."""
+    matrix = fit_matrix(rows, tfidf_size)
+    classifier = fit_classifier(matrix.transform(rows), kind, label, **params)
+    return PipelineModel([*row_stages(), *matrix.stages, classifier])
 
 
 def train(df: DataFrame, kind: str, label: str = "label", **params) -> PipelineModel:
@@ -125,11 +136,13 @@ def cross_validate(df: DataFrame, models: dict[str, dict], k: int = 5, label: st
     """
     rows = prepared(with_folds(df, label, k, seed, ident))
     results = []
-    for kind, params in models.items():
-        for fold in range(k):
-            model = fit_prepared(rows.filter(F.col("fold") != fold), kind, label, **params)
-            tail = PipelineModel(model.stages[len(row_stages()):])
-            held = tail.transform(rows.filter(F.col("fold") == fold))
+    for fold in range(k):
+        matrix = fit_matrix(rows.filter(F.col("fold") != fold))
+        # written once per fold: every model fits on the first part and is judged on the second
+        scaled = materialize(matrix.transform(rows).select(label, "fold", "scaled"), "fold")
+        inside, outside = scaled.filter(F.col("fold") != fold), scaled.filter(F.col("fold") == fold)
+        for kind, params in models.items():
+            held = fit_classifier(inside, kind, label, **params).transform(outside)
             pairs = held.select(F.col(label).cast("int").alias("true_label"), F.col("prediction").cast("int").alias("predicted"))
             report = ST.classification_report(pairs).filter(F.col("class") == "1").first()
             if report is not None:
