@@ -16,6 +16,9 @@ from .ranking import first_edges
 from .skew import hot_join
 
 
+BUCKET_EDGES = 2_000_000  # edges per bucket of the PageRank table
+
+
 def interactions_to_edges(interactions: DataFrame) -> DataFrame:
     """(sender_id, receiver_id, weight, seq) as (src, dst, weight, seq), weight 1 where it is null."""
     weight = F.coalesce(F.col("weight"), F.lit(1)) if "weight" in interactions.columns else F.lit(1)
@@ -69,7 +72,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_ite
     the new ranks to the shared folder, which cuts the plan and survives lost executors.
     """
     spark = edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = materialize(edges.select("src", "dst", "weight"), "pagerank-input")  # read several times below
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism),
+                min(-(-edges.count() // BUCKET_EDGES), 50_000))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("n_out"))
     pieces = F.greatest(F.ceil(F.col("n_out") / hub_edges), F.lit(1)).cast("int")
     nodes = endpoints(edges).distinct().join(out.withColumnRenamed("src", "id"), "id", "left").select(
