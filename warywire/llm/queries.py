@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, shard
+from . import mix, pieces, shard
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,14 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_pieces": op3_pieces,
 }
 
 SQL: dict[str, str] = {
