@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mix, pieces, shard
+from . import mix, pieces, shard, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,18 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
     "op3_pieces": op3_pieces,
+    "op9_top_products": op9_top_products,
 }
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mix.SQL,
+    "op9_top_products": topk.oracle(),
 }
