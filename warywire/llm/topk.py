@@ -78,7 +78,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, ident: str = "vec_id
     right = (
         rows.filter("asked").select("id", "v", "dim").dropDuplicates(["id", "v"])
         .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
         .select("shard", "block", "dim", "id", "v")
     )
 
