@@ -79,7 +79,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, ident: str = "vec_id
         rows.filter("asked").select("id", "v", "dim").dropDuplicates(["id", "v"])
         .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        .select("shard", "block", "dim", "id", "v")
+        .select("shard", "block", F.col("dim").alias("dim"), F.col("id").alias("query"), F.col("v").alias("q"))
     )
 
     def tile(key, rows_of: pd.DataFrame, queries_of: pd.DataFrame) -> pd.DataFrame:
@@ -91,13 +91,13 @@ def search(vectors: DataFrame, queries: Column, k: int = K, ident: str = "vec_id
         out = []
         for at in range(0, len(queries_of), 512):
             part = queries_of.iloc[at:at + 512]
-            scores = products(np.stack(part["v"].to_numpy()), data)
-            own = ids[None, :] == part["id"].to_numpy()[:, None]
+            scores = products(np.stack(part["q"].to_numpy()), data)
+            own = ids[None, :] == part["query"].to_numpy()[:, None]
             take = min(len(ids), k + int(own.sum(axis=1).max(initial=0)))
             at_best = best(scores, ids, take)
             kept = ~np.take_along_axis(own, at_best, 1)
             out.append(pd.DataFrame({
-                "query_id": np.repeat(part["id"].to_numpy(), at_best.shape[1])[kept.ravel()],
+                "query_id": np.repeat(part["query"].to_numpy(), at_best.shape[1])[kept.ravel()],
                 "vec_id": ids[at_best].ravel()[kept.ravel()],
                 "score": np.take_along_axis(scores, at_best, 1).ravel()[kept.ravel()]}))
         return pd.concat(out).assign(tile=int(key[0]))
