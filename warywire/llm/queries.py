@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mix, pieces, shard, topk
+from . import ann, linededup, mix, pieces, shard, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,19 +29,30 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
     "op3_pieces": op3_pieces,
     "op4_cross_polytope": op4_cross_polytope,
+    "op7_simhash": op7_simhash,
     "op9_top_products": op9_top_products,
+    "op10_line_chunks": op10_line_chunks,
 }
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mix.SQL,
     "op9_top_products": topk.oracle(),
+    "op10_line_chunks": linededup.SQL,
 }
