@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mix, pieces, shard, simhash, topk
+from . import ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,18 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -46,7 +54,9 @@ QUERIES: dict[str, Query] = {
     "op2_virtual_slots": op2_virtual_slots,
     "op3_pieces": op3_pieces,
     "op4_cross_polytope": op4_cross_polytope,
+    "op6_factorisation": op6_factorisation,
     "op7_simhash": op7_simhash,
+    "op8_toxic_neighbours": op8_toxic_neighbours,
     "op9_top_products": op9_top_products,
     "op10_line_chunks": op10_line_chunks,
 }
