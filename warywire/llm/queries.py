@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity
+from . import ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_virtual_slots": op2_virtual_slots,
     "op3_pieces": op3_pieces,
     "op4_cross_polytope": op4_cross_polytope,
+    "op5_url_models": op5_url_models,
     "op6_factorisation": op6_factorisation,
     "op7_simhash": op7_simhash,
     "op8_toxic_neighbours": op8_toxic_neighbours,
