@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
         .withColumn("_all", F.sum("source_size").over(everything).cast("double"))
         .withColumn("_full", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_level", (F.col("_all") - F.col("_full")) / F.sum("_w").over(rest))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max("_level").over(everything))  # it rises while sources are full, then falls
         .select("source", "source_size", F.least("_cap", F.coalesce("_level", F.lit(0.0)) * F.col("_w")).alias("target"))
     )
 
@@ -160,7 +160,7 @@ levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / w THEN level END) OVER (), 0) * w) AS target FROM levels),
+  SELECT source, source_size, least(cap, coalesce(max(level) OVER (), 0) * w) AS target FROM levels),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
 placed AS (
