@@ -57,7 +57,7 @@ def rotate(unit: np.ndarray, table: int, step: int = 0, seed: int = SEED) -> np.
 
 def axes(rotated: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """The nearest signed axes of each row, nearest first, and how much nearer the first one is."""
-    signed = np.concatenate([rotated, -rotated], axis=1)
+    signed = np.round(np.concatenate([rotated, -rotated], axis=1), 12)  # equal axes in a fixed order
     probes = min(probes, signed.shape[1])
     order = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
     value = np.take_along_axis(signed, order, 1)

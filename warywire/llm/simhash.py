@@ -13,6 +13,7 @@ representative per local component, never all its pairs; components join them ov
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import same
+from .common import bounded_rows
 from .components import components
 
 SEED = 42
@@ -31,6 +32,8 @@ RADIUS = 2
 SHINGLE = 3
 GROUP = 1024
 LEAF = 32
+PAIRS = 2_000_000
+FINER = T.StructType([T.StructField("above", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("mask", T.LongType())])
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -115,8 +118,9 @@ def linked(codes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarra
         cuts = np.arange(0, len(low), LEAF)
         low, high = np.bitwise_and.reduceat(low, cuts), np.bitwise_or.reduceat(high, cuts)
         levels.append((low, ~(low ^ high)))
-    for at in range(0, n, 2048):
-        queries = np.arange(at, min(n, at + 2048))
+    step = min(2048, max(16, PAIRS // n))
+    for at in range(0, n, step):
+        queries = np.arange(at, min(n, at + step))
         width = len(levels[-1][0]) if levels else n
         q, node = np.repeat(queries, width), np.tile(np.arange(width), len(queries))
         for depth in range(len(levels) - 1, -1, -1):
@@ -160,18 +164,24 @@ def blocks(free: int, count: int) -> list[int]:
 
 def pigeonhole(radius: int) -> Callable[[int], list[int]]:
     """Longer masks below a mask: its free bits in radius + 1 blocks, of which two fingerprints within
-    the radius agree on at least one. Exact at every level."""
-    return lambda mask: [mask | b for b in blocks(~mask & (2**BITS - 1), radius + 1) if b]
+    the radius agree on at least one. Exact at every level; fewer free bits than blocks are not divided."""
+    def below(mask: int) -> list[int]:
+        free = ~mask & (2**BITS - 1)
+        return [mask | b for b in blocks(free, radius + 1)] if free.bit_count() > radius else []
+
+    return below
 
 
-def sampled(tables: int, bits: int, finer_tables: int = 8, finer_bits: int = 12, seed: int = 5) -> Callable[[int], list[int]]:
-    """Masks of random bits: ``tables`` of ``bits`` bits, and below a mask some with further bits."""
+def sampled(tables: int, bits: int, finer_tables: int = 16, finer_bits: int = 8, seed: int = 5) -> Callable[[int], list[int]]:
+    """Masks of random bits: ``tables`` of ``bits`` bits, and below each of them some with further bits."""
 
     def below(mask: int) -> list[int]:
+        if mask.bit_count() > bits:
+            return []
         free = [i for i in range(BITS) if not mask >> i & 1]
         draw = np.random.default_rng([seed, mask >> 32, mask & 0xFFFFFFFF])
-        n, size = (tables, bits) if not mask else (finer_tables, finer_bits)
-        return [mask | sum(1 << int(b) for b in draw.choice(free, size, replace=False)) for _ in range(n)] if len(free) > size else []
+        n, size = (finer_tables, finer_bits) if mask else (tables, bits)
+        return [mask | sum(1 << int(b) for b in draw.choice(free, size, replace=False)) for _ in range(n)]
 
     return below
 
@@ -184,41 +194,39 @@ def group_links(fps: DataFrame, masks: Callable[[int], list[int]], radius: int,
     in at most ``radius`` bits and, with ``verify``, all words together in at most that many. Groups above
     ``group`` members go on to longer masks until there are none.
     """
-    words = fps.withColumn("w", F.col("fp")[0])
-    level = [(i, m) for i, m in enumerate(masks(0))]
-    filed = _file(words, level)
+    level = masks(0)
+    filed = _file(fps.withColumn("w", F.col("fp")[0]), level)
     out = []
     while True:
         filed = materialize(filed, "simhash-groups")
         counts = filed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        finer = {t: masks(m) for t, m in level}
-        deep = [t for t, below in finer.items() if below]
-        big = materialize(counts.filter((F.col("n") > group) & F.col("t").isin(deep)).select("t", "key"), "simhash-large") if deep else None
-        more = big is not None and big.limit(1).count() > 0
-        small = filed.join(counts.filter((F.col("n") <= group) | ~F.col("t").isin(deep)).select("t", "key"), ["t", "key"])
-        out.append(_local(small, radius, verify))
-        if not more:
+        finer = [(t, below) for t, m in enumerate(level) for below in masks(m)]
+        finer = [(above, t, mask) for t, (above, mask) in enumerate(finer)]
+        deep = sorted({above for above, _, _ in finer})
+        large = (F.col("n") > group) & F.col("t").isin(deep)
+        out.append(_local(filed.join(counts.filter(~large).select("t", "key"), ["t", "key"]), radius, verify))
+        big = materialize(counts.filter(large).select("t", "key"), "simhash-large")
+        if not deep or not big.limit(1).count():
             break
-        hot = filed.join(big, ["t", "key"]).select("id", "fp", F.col("fp")[0].alias("w"), F.col("t").alias("above"))
-        step, nexts = [], []
-        for above, below in finer.items():
-            for mask in below:
-                nexts.append((len(nexts), mask))
-                step.append((above, len(nexts) - 1, mask))
-        filed = _file(hot, [(t, m) for _, t, m in step], {t: a for a, t, _ in step})
-        level = nexts
+        filed = _refile(filed.join(big, ["t", "key"]).select("t", "id", "fp"), finer)
+        level = [mask for _, _, mask in finer]
     links = out[0]
     for more_links in out[1:]:
         links = links.unionAll(more_links)
     return links
 
 
-def _file(words: DataFrame, masks: list[tuple[int, int]], above: dict[int, int] | None = None) -> DataFrame:
-    """(t, key, id, fp): every fingerprint under each mask (below its own upper mask)."""
-    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.col("w").bitwiseAND(F.lit(signed(m))).alias("key"),
-                               F.lit(above[t] if above else -1).alias("over")) for t, m in masks])
-    cells = F.explode(entry if above is None else F.filter(entry, lambda e: e["over"] == F.col("above"))).alias("e")
-    return words.select(cells, "id", "fp").select("e.t", "e.key", "id", "fp")
+def _file(words: DataFrame, masks: list[int]) -> DataFrame:
+    """(t, key, id, fp): every fingerprint under each of the first masks."""
+    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.col("w").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
+    return words.select(F.explode(entry).alias("e"), "id", "fp").select("e.t", "e.key", "id", "fp")
+
+
+def _refile(hot: DataFrame, finer: list[tuple[int, int, int]]) -> DataFrame:
+    """The same under the longer masks (mask above, number, mask); their number is set by the parameters."""
+    rows = bounded_rows(hot.sparkSession, json.dumps([{"above": a, "t": t, "mask": signed(m)} for a, t, m in finer]), FINER)
+    return hot.withColumnRenamed("t", "above").join(F.broadcast(rows), "above").select(
+        "t", F.col("fp")[0].bitwiseAND(F.col("mask")).alias("key"), "id", "fp")
 
 
 def _local(groups: DataFrame, radius: int, verify: int | None) -> DataFrame:
@@ -262,7 +270,7 @@ def _local(groups: DataFrame, radius: int, verify: int | None) -> DataFrame:
             if not len(a):
                 continue
             starts = edges[:-1][sizes == size]
-            step = max(1, 2_000_000 // len(a))
+            step = max(1, PAIRS // len(a))
             for at in range(0, len(starts), step):
                 i = (starts[at:at + step, None] + a).ravel()
                 j = (starts[at:at + step, None] + b).ravel()
@@ -282,11 +290,12 @@ def close(x: np.ndarray, y: np.ndarray, radius: int, verify: int | None) -> np.n
     return kept if verify is None else kept & (apart.sum(axis=1, dtype=np.int64) <= verify)
 
 
-def classes(rows: DataFrame, masks: Callable[[int], list[int]], radius: int, verify: int | None = None) -> DataFrame:
+def classes(rows: DataFrame, masks: Callable[[int], list[int]], radius: int, verify: int | None = None,
+            group: int = GROUP) -> DataFrame:
     """Adds ``class`` (the smallest ``id`` reachable over links) to rows of (id, fp, ...)."""
     distinct = rows.groupBy("fp").agg(F.min("id").alias("id"))
     distinct = materialize(distinct, "simhash-distinct")
-    found = components(group_links(distinct.filter("id is not null"), masks, radius, verify))
+    found = components(group_links(distinct.filter("id is not null"), masks, radius, verify, group))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("class"))
     return rows.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
@@ -316,16 +325,17 @@ TABLE_BITS = 16
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """How many of ``bits`` fingerprint bits differ at most, as expected for shingle sets of that Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.ceil(np.arccos(cosine) / np.pi * bits))
+    """How many of ``bits`` fingerprint bits may differ between shingle sets of that Jaccard similarity: the
+    expected number and one standard deviation."""
+    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(apart * bits + np.sqrt(bits * apart * (1 - apart))))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = PIPELINE_SHINGLE) -> DataFrame:
     """The documents with one of each near-duplicate group kept, columns and values unchanged.
 
-    Fingerprints of 4 x 64 bits over five-word shingles; two texts are near duplicates if as many bits
-    agree as a Jaccard similarity of ``similarity`` makes expected. Candidates come from sampled masks of
+    Fingerprints of 4 x 64 bits over five-word shingles; two texts are near duplicates if no more
+    bits differ than a Jaccard similarity of ``similarity`` makes likely (``bits_for``). Candidates come from sampled masks of
     the first word. Of each group the row with the smallest doc_id stays (nulls last; of repeated rows the
     first). Null, empty and blank texts are one group. Empty table: no rows.
     """
@@ -333,8 +343,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     marked = fingerprints(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")),
                           ["id", "doc_id"], "text", shingle, WORDS)
     marked = materialize(marked, "simhash-fingerprints")
-    slack = bits_for(similarity, BITS) + 4
-    found = classes(marked.select("id", "fp", "doc_id"), sampled(TABLES, TABLE_BITS), slack, bits_for(similarity, BITS * WORDS))
+    found = classes(marked.select("id", "fp", "doc_id"), sampled(TABLES, TABLE_BITS), bits_for(similarity, BITS) + 1,
+                    bits_for(similarity, BITS * WORDS), 4 * GROUP)
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
     stay = first.select(F.col("first.id").alias("id"))
     return rows.join(stay, "id", "left_semi").select("row.*")
