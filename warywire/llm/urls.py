@@ -9,8 +9,11 @@ the tables they are kept in have a fixed number of cells per order, so their siz
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -125,6 +128,16 @@ class Model:
         return out
 
 
+def frozen(model: Model) -> bytes:
+    """The model for the tasks, compressed: most cells are empty."""
+    return zlib.compress(pickle.dumps(model), 1)
+
+
+@lru_cache(maxsize=2)
+def thawed(data: bytes) -> Model:
+    return pickle.loads(zlib.decompress(data))
+
+
 def accepted_and_rejected(pages: DataFrame) -> DataFrame:
     """(url, kind, held): URLs that a rule accepts (1) or rejects (0); a fifth, by hash, is kept for calibration."""
     host, path = host_and_path(F.col("url"))
@@ -201,11 +214,13 @@ def fit(pages: DataFrame, order: int = ORDER, n_cells: int = CELLS) -> Model | N
 
 def calibrate(held: DataFrame, model: Model) -> float:
     """The threshold that tells accepted from rejected held-out URLs best (equal weight for both classes)."""
+    data = frozen(model)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            place = np.clip((model.scores(batch.column(0).to_pylist()) / RANGE + 0.5) * BINS, 0, BINS - 1).astype(np.int32)
+            place = np.clip((thawed(data).scores(batch.column(0).to_pylist()) / RANGE + 0.5) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), batch.column(1)], names=["bin", "kind"])
 
     found = np.zeros((2, BINS))
@@ -229,6 +244,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     """
     model = fit(pages.select("url"))
     threshold = model.threshold if model else 0.0
+    data = frozen(model) if model else None
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -236,7 +252,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
         for batch in batches:
             urls = [(u or "").encode("utf-8", "surrogatepass") for u in batch.column(1).to_pylist()]
-            scores = model.scores(urls) if model else np.zeros(len(urls))
+            scores = thawed(data).scores(urls) if data else np.zeros(len(urls))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=schema.names)
 
     host, path = host_and_path(F.col("url"))
