@@ -68,6 +68,16 @@ def test_unseen_platform_scores(spark, logistic):
     assert 0 <= M.score(logistic, odd).first()["prediction"] <= 1
 
 
+def test_a_given_platform_stays(spark, logistic):
+    rows = spark.createDataFrame([(1, "Discord", "got fire, dm me")], "message_id long, platform string, message_text string")
+    out = M.score(logistic, rows).first()
+    assert out["platform"] == "Discord"
+    both = rows.withColumn("message_type", F.lit("general"))
+    assert out["prediction"] == M.score(logistic, both).first()["prediction"]
+    telegram = both.withColumn("platform", F.lit("Telegram"))
+    assert out["prediction"] != M.score(logistic, telegram).first()["prediction"]
+
+
 def test_single_equals_batch(logistic, rows):
     one = rows.filter("message_id = 9")
     alone = M.score(logistic, one, explain=True).first()

@@ -95,6 +95,23 @@ def test_ann_recall(spark, points, tmp_path):
     recall = np.mean([len(set(near[i]) & set(exact[i])) / 5 for i in exact])
     assert recall > 0.8
     assert found(SE.ann_search(stored, pivots, queries, 5, probes=12)) == exact
+    assert found(SE.ann_search(stored, pivots, queries, 5, probes=4, broadcast_limit=10)) == near
+
+
+def test_texts_that_differ_in_outer_white_space_are_one(spark):
+    rows = [(0, [0.0], "buy weed\n"), (1, [0.1], "Buy weed"), (2, [0.2], "\tbuy weed\u00a0"), (3, [0.3], "buy  weed")]
+    corpus = spark.createDataFrame([(*r, "A", "high") for r in rows], "id long, embedding array<float>, document string, platform string, risk_level string")
+    q = spark.createDataFrame([("q", [0.0])], "query_id string, embedding array<double>")
+    for overfetch in (None, 5):
+        hits = SE.semantic_search(corpus, q, 4, overfetch=overfetch).orderBy("rank").collect()
+        assert [r["id"] for r in hits] == [0, 3]
+
+
+def test_many_copies_do_not_hide_other_texts(spark):
+    rows = [(i, [0.0], "copy") for i in range(500)] + [(500 + i, [1.0 + i], f"text {i}") for i in range(5)]
+    corpus = spark.createDataFrame([(*r, "A", "high") for r in rows], "id long, embedding array<float>, document string, platform string, risk_level string")
+    q = spark.createDataFrame([("q", [0.0])], "query_id string, embedding array<double>")
+    assert [r["id"] for r in SE.semantic_search(corpus, q, 5).orderBy("rank").collect()] == [0, 500, 501, 502, 503]
 
 
 def test_smote_reaches_parity_inside_the_class(spark, points):
@@ -167,9 +184,9 @@ def test_single_node(spark):
 def test_graph_report_uses_first_ten(spark):
     inter = spark.createDataFrame([(f"s{i}", f"r{i}", 1, i) for i in range(30)],
                                   "sender_id string, receiver_id string, weight int, seq long")
-    rep = G.graph_report(inter)
+    rep = G.graph_report(inter, 10)
     assert rep["edges"].count() == 10 and rep["metrics"].first()["node_count"] == 20
-    assert G.graph_report(inter, None)["edges"].count() == 30
+    assert G.graph_report(inter)["edges"].count() == 30
 
 
 def test_ego_radius(spark):

@@ -15,7 +15,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [("T", "g", 'say "hi", ok\nnext', "high"), ("T", "g", " ends ", None), ("D", "g", "🔥 é", "low")]
     df = spark.createDataFrame(rows, S.MESSAGES)
     S.write_csv(df, str(tmp_path / "m"))
-    assert {tuple(r) for r in S.read_messages_csv(spark, str(tmp_path / "m")).collect()} == set(rows)
+    assert {tuple(r) for r in S.read_messages_csv(spark, str(tmp_path / "m"), multi_line=True).collect()} == set(rows)
 
 
 def test_optional_source(spark, tmp_path):
@@ -39,6 +39,17 @@ def test_requests(spark):
     assert S.parse_requests(one, "predict").first()["message"] == "a"
 
 
+def test_unusable_requests_are_named(spark):
+    bodies = ['{"message": "hi"}', '{"message": null}', '{}', '{"message": ', 'no json', '[1]', '{"message": 5, "more": 1}', None]
+    raw = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    out = {r["id"]: (r["message"], r["error"]) for r in S.check_requests(raw, "predict").collect()}
+    assert out[0] == ("hi", None) and out[1][1] == out[2][1] == "message is required" and out[6] == ("5", None)
+    assert all(out[i] == (None, "invalid JSON") for i in (3, 4, 7))
+    assert out[5][1] is not None
+    batch = spark.createDataFrame([(0, '{"messages": ["a", "b"]}'), (1, '{"messages": "a"}')], "id long, body string")
+    assert [r["error"] for r in S.check_requests(batch, "batch").orderBy("id").collect()] == [None, "invalid JSON"]
+
+
 def test_conform_without_platform_or_text(spark):
     bare = spark.createDataFrame([(1,), (0,), (None,)], "suspicious int")
     rows = C.conform_source(bare).collect()

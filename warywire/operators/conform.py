@@ -45,7 +45,10 @@ def append_negatives(df: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def with_scoring_defaults(df: DataFrame) -> DataFrame:
-    return df.withColumns({"platform": F.lit("Telegram"), "message_type": F.lit("general")})
+    """Adds the default platform and message type where the column is missing; given values stay."""
+    defaults = {"platform": "Telegram", "message_type": "general"}
+    missing = {c: F.lit(v) for c, v in defaults.items() if c not in df.columns}
+    return df.withColumns(missing) if missing else df
 
 
 def drop_blank(df: DataFrame, text_col: str = "message_text") -> DataFrame:

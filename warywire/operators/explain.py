@@ -63,12 +63,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def rule_importance(features: DataFrame, label: str = "true_label", threshold: float = 0.5, repeats: int = 5,
-                    max_rows: int | None = 5000, ident: str = "message_id") -> DataFrame:
+                    max_rows: int | None = None, ident: str = "message_id") -> DataFrame:
     """Permutation importance of each flag for the rule model's accuracy.
 
     A permutation pairs the rows ranked by one hash with the same rows ranked by another.
     The score is linear in the flags, so replacing one flag moves it by w * (x' - x); one
-    join per repeat serves all flags at once. ``max_rows=None`` uses every row.
+    join per repeat serves all flags at once. Every row is used unless ``max_rows`` asks for a sample.
     """
     cols = list(SCORE_WEIGHTS)
     base = features.select(ident, label, "weighted_risk_score", *[F.col(c).cast("int").alias(c) for c in cols])
@@ -105,7 +105,7 @@ def permuted(df: DataFrame, group: Sequence[str], rep: int, ident: str = "messag
 
 
 def permutation_importance(df: DataFrame, scorer: Scorer, groups: dict[str, Sequence[str]], repeats: int = 5,
-                           max_rows: int | None = 5000, label: str = "label", ident: str = "message_id") -> DataFrame:
+                           max_rows: int | None = None, label: str = "label", ident: str = "message_id") -> DataFrame:
     """Mean and deviation of the accuracy drop when each group of input columns is permuted.
 
     ``scorer`` maps rows to rows with ``prediction``. All variants of a group are scored

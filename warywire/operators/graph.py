@@ -117,8 +117,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_ite
     return ranks.select("id", "pagerank")
 
 
-def graph_report(interactions: DataFrame, max_edges: int | None = 10) -> dict[str, DataFrame]:
-    """Nodes with both scores, edges, and counts, from the first ``max_edges`` interactions (None: all)."""
+def graph_report(interactions: DataFrame, max_edges: int | None = None) -> dict[str, DataFrame]:
+    """Nodes with both scores, edges, and counts, from all interactions, or from the first ``max_edges``."""
     used = interactions if max_edges is None else first_edges(interactions, max_edges)
     edges = materialize(build_graph(used), "graph")
     return {

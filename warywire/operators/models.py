@@ -110,9 +110,7 @@ def score(model: PipelineModel, msgs: DataFrame, explain: bool = False) -> DataF
     The same path serves one row and a whole table. Missing platform and type get the defaults.
     """
     keep = msgs.columns
-    if "platform" not in keep or "message_type" not in keep:
-        msgs = with_scoring_defaults(msgs)
-    out = model.transform(msgs)
+    out = model.transform(with_scoring_defaults(msgs))
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
     else:  # a linear margin

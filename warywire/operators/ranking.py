@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from .conform import misclassified
 from .ordered import hash_rank
 
@@ -42,16 +43,21 @@ def first_edges(edges: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
     return edges.orderBy(order).limit(n)
 
 
+def text_key(text: Column) -> Column:
+    """What makes two texts the same: the text without case and outer white space."""
+    return F.btrim(F.lower(text), F.lit(V.SPACE_CHARS))
+
+
 def dedup_hits(hits: DataFrame, limit: int | None = None, query: str = "query_id",
                text: str = "document", dist: str = "distance", ident: str = "id") -> DataFrame:
-    """Per query, keep the nearest hit of each text (case and outer blanks ignored), then cut to ``limit``.
+    """Per query, keep the nearest hit of each text (case and outer white space ignored), then cut to ``limit``.
 
     The nearest hit per text is a ``min`` aggregate with map-side combine, so copies of one
     text never meet in one sort; Spark cuts the ranking that follows within each partition.
     """
     rest = [c for c in hits.columns if c not in (query, dist, ident, "rank")]
     best = F.min(F.struct(dist, ident, *rest)).alias("_best")
-    kept = hits.groupBy(query, F.btrim(F.lower(text)).alias("_t")).agg(best).select(query, "_best.*")
+    kept = hits.groupBy(query, text_key(F.col(text)).alias("_t")).agg(best).select(query, "_best.*")
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(dist, ident)))
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 

@@ -338,7 +338,7 @@ def top_contributions(spark, sf_dir):
 
 _COLS = list(EX.SCORE_WEIGHTS)
 _PERM_CTES = f"""{PREDS_SQL}, smp AS MATERIALIZED (SELECT message_id, true_label, weighted_risk_score, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in _COLS)}
-   FROM preds ORDER BY md5('42:' || message_id) LIMIT 5000),
+   FROM preds),
  lft AS (SELECT *, row_number() OVER (ORDER BY md5('rows:' || message_id), message_id) AS rk FROM smp),
  reps AS (SELECT unnest([1, 2, 3, 4, 5]) AS rep),
  don AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY md5('rep' || rep || ':' || message_id), message_id) AS rk,

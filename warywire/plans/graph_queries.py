@@ -81,7 +81,7 @@ def pagerank_converged(spark, sf_dir):
     return tidy(G.pagerank(G.build_graph(interactions(spark, sf_dir))), 3)
 
 
-_FIRST_SQL = f"""{INTER_SQL}, used AS (SELECT * FROM inter ORDER BY seq LIMIT 10),
+_ALL_SQL = f"""{INTER_SQL}, used AS (SELECT * FROM inter),
  edges AS (SELECT src, dst, max_by(weight, seq) AS weight FROM used GROUP BY src, dst), {NODES_SQL}"""
 
 
@@ -90,8 +90,8 @@ def first_n_interactions(spark, sf_dir):
     return R.first_edges(G.interactions_to_edges(interactions(spark, sf_dir)), 10)
 
 
-@query("graph_report", f"""WITH {_FIRST_SQL}, {DEGREE_SQL}, {rounds_sql(40)}
- SELECT 'node' AS kind, r40.id AS a, NULL AS b, round(r, 4) AS pagerank, round(d / ((SELECT count(*) FROM nodes) - 1), 6) AS degree, NULL AS weight
+@query("graph_report", f"""WITH {_ALL_SQL}, {DEGREE_SQL}, {rounds_sql(40)}
+ SELECT 'node' AS kind, r40.id AS a, NULL AS b, round(r, 3) AS pagerank, round(d / ((SELECT count(*) FROM nodes) - 1), 6) AS degree, NULL AS weight
   FROM r40 JOIN deg ON deg.id = r40.id
  UNION ALL SELECT 'edge', src, dst, NULL, NULL, weight FROM edges
  UNION ALL SELECT 'metrics', CAST((SELECT count(*) FROM nodes) AS VARCHAR), CAST((SELECT count(*) FROM edges) AS VARCHAR), NULL, NULL, NULL""")
@@ -99,7 +99,7 @@ def graph_report(spark, sf_dir):
     rep = G.graph_report(interactions(spark, sf_dir))
     no = F.lit(None)
     nodes = rep["nodes"].select(F.lit("node").alias("kind"), F.col("id").alias("a"), no.cast("string").alias("b"),
-                                F.round("pagerank", 4).alias("pagerank"), F.round("degree_centrality", 6).alias("degree"),
+                                F.round("pagerank", 3).alias("pagerank"), F.round("degree_centrality", 6).alias("degree"),
                                 no.cast("long").alias("weight"))
     edges = rep["edges"].select(F.lit("edge"), "source", "target", no.cast("double"), no.cast("double"), "weight")
     counts = rep["metrics"].select(F.lit("metrics"), F.col("node_count").cast("string"), F.col("edge_count").cast("string"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..session import spread
+from ..session import LOCAL_PARTITIONS
 from .phrases import PHRASES
 
 PLATFORMS = {"click": "Telegram", "error": "Discord", "purchase": "WhatsApp", "signup": "Signal", "view": "Reddit"}
@@ -19,7 +19,11 @@ P = len(PHRASES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A given table. A local session may ask for so many partitions (``local_session``), since a table of
+    one small file is one task; elsewhere the scan's own splits are used."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(LOCAL_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

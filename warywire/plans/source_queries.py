@@ -27,7 +27,7 @@ CSV_COLS = "platform, message_type, nullif(message_text, '') AS message_text, ri
 def scan_messages_csv(spark, sf_dir):
     path = fresh_path(spark, "messages-csv")
     S.write_csv(messages(spark, sf_dir).select(*MSG), path)
-    return S.read_messages_csv(spark, path)
+    return S.read_messages_csv(spark, path, multi_line=True)  # some texts hold line breaks
 
 
 @query("sink_csv", f"WITH {MESSAGES_SQL} SELECT platform, risk_level, count(*) AS n, sum(length(message_text)) AS chars "
@@ -35,7 +35,7 @@ def scan_messages_csv(spark, sf_dir):
 def sink_csv(spark, sf_dir):
     path = fresh_path(spark, "sink-csv")
     S.write_csv(messages(spark, sf_dir).select(*MSG), path)
-    back = S.read_messages_csv(spark, path)
+    back = S.read_messages_csv(spark, path, multi_line=True)
     return back.groupBy("platform", "risk_level").agg(
         F.count("*").alias("n"), F.sum(F.length("message_text")).alias("chars"))
 
@@ -59,7 +59,8 @@ def scan_lexicons(spark, sf_dir):
     lex = lex.unionByName(emoji.select(F.lit("emoji").alias("kind"), F.col("emoji").alias("term"),
                                        F.col("drug_category").alias("category")))
     msgs = messages(spark, sf_dir)
-    words = J.exploded_tokens(msgs).select(F.col("token").alias("term"))
+    terms = [t for t, _ in (*V.slang_rows(), *V.emoji_rows())]  # only tokens of the lexicons are counted and shuffled
+    words = J.exploded_tokens(msgs).select(F.col("token").alias("term")).filter(F.col("term").isin(terms))
     hits = msgs.select(F.explode(E.emoji_hits(X.text_or_empty(F.col("message_text")))).alias("term"))
     seen = words.unionByName(hits).groupBy("term").agg(F.count("*").alias("n"))
     return lex.join(seen, "term", "left").select("kind", "term", "category", F.coalesce("n", F.lit(0)).alias("uses"))
@@ -70,7 +71,7 @@ def scan_optional_source(spark, sf_dir):
     """One source is there, the other is missing and counts as empty."""
     path = fresh_path(spark, "optional-csv")
     S.write_csv(messages(spark, sf_dir).select(*MSG), path)
-    there = S.read_optional(spark, path, S.MESSAGES)
+    there = S.read_optional(spark, path, S.MESSAGES, multi_line=True)
     missing = S.read_optional(spark, path + "-missing", S.MESSAGES)
     return there.unionByName(missing)
 
@@ -98,6 +99,29 @@ def parse_graph_request(spark, sf_dir):
     return S.parse_requests(raw, "graph").select("message_id", "user_id", F.inline("interactions"))
 
 
+_ERROR_SQL = """CASE WHEN message_id % 7 = 3 THEN 'invalid JSON' WHEN {missing} THEN '{field} is required' END AS error"""
+
+
+@query("parse_predict_request", f"""WITH {MESSAGES_SQL} SELECT message_id, CASE WHEN message_id % 7 <> 3 AND message_id % 5 <> 1 THEN message_text END AS message,
+  {_ERROR_SQL.format(missing="message_id % 5 = 1 OR message_text IS NULL", field="message")} FROM messages""")
+def parse_predict_request(spark, sf_dir):
+    """Each message as the body of a prediction request, some without the field and some broken."""
+    body = F.to_json(F.struct(F.when(F.col("message_id") % 5 != 1, F.col("message_text")).alias("message")))
+    broken = F.when(F.col("message_id") % 7 == 3, F.concat(F.lit("{\"message\": "), body)).otherwise(body)
+    return S.check_requests(messages(spark, sf_dir).select("message_id", broken.alias("body")), "predict")
+
+
+@query("parse_batch_request", f"""WITH {MESSAGES_SQL} SELECT message_id, CASE WHEN message_id % 7 <> 3 AND message_id % 5 <> 1 THEN len([message_text, platform]) ELSE 0 END AS texts,
+  {_ERROR_SQL.format(missing="message_id % 5 = 1", field="messages")} FROM messages""")
+def parse_batch_request(spark, sf_dir):
+    """Two texts per body, some bodies without the field and some broken."""
+    body = F.to_json(F.struct(F.when(F.col("message_id") % 5 != 1, F.array("message_text", "platform")).alias("messages")))
+    broken = F.when(F.col("message_id") % 7 == 3, F.concat(body, F.lit("]"), F.lit("}"))).otherwise(body)
+    broken = F.when(F.col("message_id") % 7 == 3, F.concat(F.lit("["), broken)).otherwise(broken)
+    out = S.check_requests(messages(spark, sf_dir).select("message_id", broken.alias("body")), "batch")
+    return out.select("message_id", F.coalesce(F.size("messages"), F.lit(0)).alias("texts"), "error")
+
+
 _LITERALS = [t for t, _ in PHRASES[:14]]
 
 
@@ -108,7 +132,8 @@ _LITERALS = [t for t, _ in PHRASES[:14]]
 def messages_from_literals(spark, sf_dir):
     """Texts given in the program, with how often the messages repeat them exactly."""
     lit = S.literal_messages(spark, _LITERALS).drop("message_id")
-    uses = messages(spark, sf_dir).groupBy("message_text").agg(F.count("*").alias("n"))
+    said = messages(spark, sf_dir).filter(F.col("message_text").isin(_LITERALS))
+    uses = said.groupBy("message_text").agg(F.count("*").alias("n"))
     return lit.join(uses, "message_text", "left").select(
         "message_text", "platform", "message_type", F.coalesce("n", F.lit(0)).alias("uses"))
 

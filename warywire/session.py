@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LOCAL_PARTITIONS = "warywire.local.partitions"
 
 
 def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSession:
-    """A session for tests and the benchmark. On a cluster use the one you are given."""
+    """A session for tests and the benchmark, with a shared folder of its own unless one is given.
+
+    On a cluster use the session you are given.
+    """
+    conf.setdefault(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="warywire-"))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("warywire")
@@ -22,6 +28,7 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(LOCAL_PARTITIONS, cores)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -35,13 +42,13 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder; a cluster that names
-    none is an error, since a machine-local folder would not survive an executor.
+    Only a session of one process (master local or local[n]) that names none gets a folder of its
+    own; for a cluster that is an error, since executors would not share it.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="warywire-")
     spark.conf.set(CHECKPOINT_KEY, folder)
@@ -73,15 +80,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that was read in fewer splits than there are cores out to all cores.
-
-    Only small inputs are touched (one short file would otherwise keep one core busy with
-    all the text work); a table of many splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -42,12 +42,11 @@ _CSV = {
 
 
 def read_messages_csv(spark: SparkSession, path: str, schema: T.StructType = MESSAGES,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool = False) -> DataFrame:
     """Header CSV with an explicit schema, so there is no inference pass over the data.
 
-    ``multi_line`` keeps line breaks inside quoted text but makes a file the unit of
-    work; pass False for files without such breaks so that large files split.
-    An empty field reads as null.
+    Large files split. Files whose quoted text holds line breaks need ``multi_line``, which makes a file
+    the unit of work. An empty field reads as null.
     """
     return spark.read.options(**_CSV, multiLine=multi_line).schema(schema).csv(path)
 
@@ -60,7 +59,7 @@ def read_lexicon(spark: SparkSession, path: str | None = None, kind: str = "slan
     """A lexicon table from a CSV file, or the built-in one when no path is given."""
     schema = {"slang": SLANG_LEXICON, "emoji": EMOJI_LEXICON}[kind]
     if path is not None:
-        return read_messages_csv(spark, path, schema, multi_line=False)
+        return read_messages_csv(spark, path, schema)
     if kind == "slang":
         rows = [(term, category, None) for term, category in V.slang_rows()]
     else:
@@ -80,10 +79,10 @@ def lexicon_terms(lexicon: DataFrame, max_rows: int = 10_000) -> tuple[str, ...]
     return tuple(sorted(r.t for r in rows if r.t))
 
 
-def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Like ``read_messages_csv``, but a missing path gives an empty table."""
     try:
-        return read_messages_csv(spark, path, schema)
+        return read_messages_csv(spark, path, schema, multi_line)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -110,6 +109,24 @@ def parse_requests(raw: DataFrame, kind: str, body: str = "body") -> DataFrame:
     return parsed.withColumns(fields).drop("_r", body)
 
 
+REQUIRED = {"predict": ("message",), "batch": ("messages",), "search": ("query",), "graph": ("user_id",)}
+
+
+def check_requests(raw: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """Like ``parse_requests``, with ``error``: what makes the body unusable, else null.
+
+    A body that is no JSON object of the right types is 'invalid JSON'; a required field that is absent or
+    null is named ('message is required').
+    """
+    schema = T.StructType([*T._parse_datatype_string(REQUESTS[kind]).fields, T.StructField("_broken", T.StringType())])
+    seen = raw.withColumn("_c", F.from_json(body, schema, {"columnNameOfCorruptRecord": "_broken"}))
+    error = F.lit(None).cast("string")
+    for name in reversed(REQUIRED[kind]):
+        error = F.when(F.col(f"_c.{name}").isNull(), f"{name} is required").otherwise(error)
+    broken = F.col("_c").isNull() | F.col("_c._broken").isNotNull()
+    return parse_requests(seen.withColumn("error", F.when(broken, "invalid JSON").otherwise(error)).drop("_c"), kind, body)
+
+
 def literal_messages(spark: SparkSession, texts: Sequence[str], platform: str = "telegram",
                      message_type: str = "general") -> DataFrame:
     """A small table from texts given in the program."""
