@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 LONG_WORD = 8
+MANY = 20
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -21,9 +22,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound:
            keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, label, text, and the columns ``keep``) of about ``bound`` labelled rows for which ``learn`` holds, at most; all if fewer.
 
-    Rows are chosen by a hash of the id, so reruns agree. Of texts with one label that share their smallest
-    hash of a long word (copies and most near copies do) one is kept, so that a copied text doesn't count
-    as many. Rows without text or label are left out. The chosen labels are broadcast: there are at most
+    Rows are chosen by a hash of the id, so reruns agree. Of texts with one label that share the two
+    smallest hashes of their many long words (copies and most near copies do), or that are equal, one is
+    kept, so that a copied text doesn't count as many. Rows without text or label are left out. The chosen labels are broadcast: there are at most
     ``bound`` of them, up to the scatter of the hash, whatever the size of the tables.
     """
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(learn).groupBy("doc_id").agg(
@@ -34,6 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(cells)) < int(cells * bound / n))
     chosen = docs.select("doc_id", "text", *keep).filter(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id")
     long_words = F.filter(F.split("text", " "), lambda w: F.length(w) >= LONG_WORD)
-    sketch = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))).cast("string"), F.sha2("text", 256))
+    least = F.array_sort(F.array_distinct(F.transform(long_words, lambda w: F.xxhash64(w))))
+    sketch = F.when(F.size(least) >= MANY, F.concat_ws("|", F.slice(least, 1, 2).cast("array<string>"))).otherwise(F.sha2("text", 256))
     texts = chosen.groupBy(sketch.alias("sketch"), "label").agg(F.min(F.struct("doc_id", "text", *keep)).alias("one"))
     return materialize(texts.select("label", "one.*"), "labelled")
