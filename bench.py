@@ -20,7 +20,11 @@ HEADLINE = (
     "threshold_sweep", "roc_auc", "classification_report", "latency_summary", "explain_linear_score",
     "permutation_importance", "semantic_search", "knn_join", "smote_balance", "interaction_frequency", "pagerank",
     "resumable_ingest", "stream_traffic_stats", "train_logistic", "train_boosted_trees", "score_batch",
+    "train_random_forest", "train_gradient_boosting", "explain_tree_paths", "knn_join_cells", "ann_search",
+    "tfidf_vocabulary_large", "pagerank_trades",
 )
+# A model is trained in the first query that needs it, so these times hold the training; later ones score only.
+TRAINING = ("train_logistic", "train_boosted_trees", "train_random_forest", "train_gradient_boosting")
 
 
 def run(spark, name: str, sf_dir: str) -> float:
@@ -42,7 +46,8 @@ def main() -> None:
         print(name, times[name], file=sys.stderr, flush=True)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     line = {"metric": "headline_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-            "sf": os.path.basename(sf_dir.rstrip("/"))}
+            "sf": os.path.basename(sf_dir.rstrip("/")),
+            "training_seconds": round(sum(t for n, t in times.items() if n in TRAINING), 3)}
     if "final_features" in times:
         line["messages_per_sec"] = round(events / times["final_features"])
     print(json.dumps(line))
