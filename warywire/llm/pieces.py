@@ -27,7 +27,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 @dataclass
@@ -192,7 +192,7 @@ class Words:
     table of words gives exactly the ids of the whole text. The table starts anew at ``limit`` words.
     """
 
-    def __init__(self, tokenizer, limit: int = 500_000) -> None:
+    def __init__(self, tokenizer, limit: int = 250_000) -> None:
         from tokenizers import normalizers
 
         tokenizer.normalizer = normalizers.Sequence([])  # words come with their marker
@@ -288,6 +288,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -297,14 +298,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
             reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
             at = 0
             while at < len(texts):  # parts of bounded size, so that long texts don't meet in one call
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars < BATCH_CHARS):
-                    chars += len(texts[end] or "")
+                    chars += int(sizes[end])
                     end += 1
-                part = texts[at:end]
+                part = texts.slice(at, end - at).to_pylist()
                 offsets, ids, good = encode_texts(data, [t or "" for t in part])
                 if reference is not None:
                     for i, t in enumerate(part):
