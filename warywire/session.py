@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-LOCAL_PARTITIONS = "warywire.local.partitions"
+LOCAL_PARTITIONS = "spark.warywire.local.partitions"
 
 
 def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSession:
