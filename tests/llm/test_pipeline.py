@@ -38,7 +38,10 @@ def test_stages_in_turn(spark, tmp_path):
     assert not set(ids["toxicity"]) & {r[0] for r in rude} and {r[0] for r in fine + shared + copy} <= set(ids["toxicity"])
     assert ids["line_dedup"] == ids["toxicity"]
     assert sum(passage in (r.text or "") for r in after["line_dedup"]) == 1
-    assert set(ids["near_duplicates"]) & {300, 301, 302, 303} == {300} and {r[0] for r in fine} <= set(ids["near_duplicates"])
+    # line dedup empties the later copies, and empty texts are one group of which the smallest id stays
+    assert {r.doc_id for r in after["near_duplicates"] if r.doc_id in (300, 301, 302, 303) and r.text} == {300}
+    assert [r.doc_id for r in after["near_duplicates"] if not r.text] == [301]
+    assert {r[0] for r in fine} <= set(ids["near_duplicates"])
     assert max(ids["mix"].values()) <= 3 and set(ids["mix"]) <= set(ids["near_duplicates"])
     assert ids["pieces"] == ids["mix"]
     texts = {r.doc_id: r.text for r in after["mix"]}
