@@ -226,7 +226,7 @@ class Words:
         words = [split_words(t) for t in texts]
         if len(self.index) > self.limit:
             self.clear()
-        fresh = list({w for ws in words for w in ws} - self.index.keys())
+        fresh = [w for w in set(chain.from_iterable(words)) if w not in self.index]
         if fresh:
             self.add(fresh)
         counts = np.fromiter(map(len, words), np.int64, len(words))
