@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import oracle
 from helpers import DOCS, documents, odd
@@ -65,3 +66,40 @@ def test_documents_keep_their_columns(spark):
     out = {r.doc_id: r for r in linededup.deduped_documents(docs).collect()}
     assert out[2].text == "b" and out[2].n_chars == 1 and out[1].n_chars == 2 + len(PASSAGE) and out[3].n_chars is None
     assert linededup.deduped_documents(docs).columns == docs.columns
+
+
+def whole(spark, *rows):
+    return {r.doc_id: r.text for r in linededup.deduped_documents(documents(spark, *rows)).collect()}
+
+
+def few_words(draw, n):
+    return " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+
+
+def test_passages_of_few_lines_go_wherever_chunks_end(spark):
+    draw = random.Random(4)
+    rows, want = [], {}
+    for case in range(105):
+        n, words = 2 + case % 7, draw.randint(60, 100)
+        cuts = sorted(draw.sample(range(1, words), n - 1)) if case % 2 else [words * k // n for k in range(1, n)]
+        shared = [few_words(draw, b - a) for a, b in zip([0, *cuts], [*cuts, words])]
+        for copy in (0, 1):
+            before, after = ([few_words(draw, 12) for _ in range(3)] for _ in range(2))
+            i = 1000 * copy + case
+            rows.append((i, "\n".join([*before, *shared, *after])))
+            want[i] = "\n".join([*before, *after]) if copy else rows[-1][1]
+    assert whole(spark, *rows) == want
+
+
+def test_runs_with_blank_lines_and_runs_of_one_line(spark):
+    draw = random.Random(5)
+    shared = [few_words(draw, 20) for _ in range(4)]
+    short = [few_words(draw, 8) for _ in range(4)]
+    a = "\n".join(["own a", *shared, "end a", *short])
+    b = "\n".join(["own b", shared[0], "", shared[1], " ", *shared[2:], "end b", *short[:3]])
+    same = "\n".join(["one line that comes again and again"] * 100)
+    rows = [(1, a), (2, b), (3, same), (4, None), (5, "\n\n")]
+    out = whole(spark, *rows)
+    assert out[1] == a and out[4] is None and out[2].startswith("own b\nend b\n" + short[0])
+    left = out[3].split("\n")
+    assert 1 <= len(left) < 100 and set(left) == set(same.split("\n"))

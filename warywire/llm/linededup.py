@@ -4,6 +4,11 @@ A rolling hash over the hashes of a line and the one before it decides where a c
 boundaries move with the content and not with its place in a document. A line as long as a passage is a
 chunk of its own. Chunks of several lines or of a passage's length that occur more than once in the
 whole table are removed from all places but the first, after their bytes have been compared.
+
+Chunks alone miss most passages of few lines: no chunk end need fall on the passage's first and last
+line. ``cut_passages`` therefore also takes, from every line on and up to every line, the shortest run
+of lines that has a passage's length. A passage repeated anywhere is the union of such runs, each
+repeated with it, so all its lines are found wherever chunks end.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from .common import word_count
 
 EVERY = 4
 PASSAGE = 50
+RUN = "run "  # before the keys of runs, which are compared without the lines that have no words
 
 
 def line_hash(line: Column) -> Column:
@@ -50,19 +56,68 @@ def cut_chunks(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE) -> D
     return found.select("rid", "doc_id", F.explode(able).alias("chunk")).select("rid", "doc_id", "chunk.*")
 
 
-def repeats(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE) -> DataFrame:
-    """Per row (rid) the chunks to remove: arrays of (start, lines, words). Rows without any are absent."""
-    chunks = materialize(cut_chunks(docs, every, passage), "line-chunks")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "k")
+def cut_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """The shortest runs of lines with ``passage`` words that start, or end, at each line of (rid, doc_id,
+    text), in the columns of ``cut_chunks``.
+
+    Lines without words are passed over, so a run has at most ``passage`` lines with words. One line of
+    a passage's length is a chunk already and left out.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
+        i.alias("i"), word_count(x).alias("words"), F.md5(x).alias("key"))), lambda x: x["words"] > 0)
+    full = docs.select("rid", "doc_id", lines.alias("lines")).filter(F.size("lines") >= 2)
+    full = full.select("rid", "doc_id", F.col("lines.i").alias("i"), F.col("lines.words").alias("words"),
+                       F.col("lines.key").alias("keys"), F.size("lines").alias("n"))
+    full = full.withColumn("back", F.reverse("words"))
+    base = passage + 1  # a run is its first line * base + its number of lines; a sum of words likewise
+
+    def run(words: str, at: Column) -> Column:
+        """Words * base + lines of the shortest run from ``at`` on, or of all that follows."""
+        return F.aggregate(F.slice(words, at + 1, passage), F.lit(0).cast("long"),
+                           lambda a, w: F.when(a < passage * base, a + w * base + 1).otherwise(a))
+
+    def enough(a: Column, first: Column) -> Column:
+        return F.when((a >= passage * base) & (a % base >= 2), first.cast("long") * base + a % base)
+
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    onward = F.transform(F.transform(every, lambda i: run("words", i)), lambda a, i: enough(a, i))
+    upto = F.transform(F.transform(every, lambda i: run("back", i)), lambda a, i: enough(a, F.col("n") - i - a % base))
+    runs = F.filter(F.array_union(onward, upto), lambda r: r.isNotNull())
+    found = full.select("rid", "doc_id", "i", "words", "keys", F.explode(runs).alias("r")).select(
+        "*", F.floor(F.col("r") / base).cast("int").alias("at"), (F.col("r") % base).cast("int").alias("size"))
+    start = F.get("i", F.col("at"))
+    return found.select(
+        "rid", "doc_id", F.col("at").alias("k"), start.alias("start"),
+        (F.get("i", F.col("at") + F.col("size") - 1) - start + 1).alias("lines"),
+        F.aggregate(F.slice("words", F.col("at") + 1, F.col("size")), F.lit(0).cast("long"), lambda a, x: a + x).alias("words"),
+        F.md5(F.array_join(F.slice("keys", F.col("at") + 1, F.col("size")), ",")).alias("key"))
+
+
+def repeats(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE, whole: bool = False) -> DataFrame:
+    """Per row (rid) the chunks to remove: arrays of (start, lines, words). Rows without any are absent.
+
+    With ``whole`` also the runs of ``cut_passages``; these overlap each other and the chunks. A run that
+    overlaps the first place of its own lines is not removed.
+    """
+    chunks = cut_chunks(docs, every, passage)
+    if whole:
+        runs = cut_passages(docs, passage).withColumn("key", F.concat(F.lit(RUN), "key"))
+        chunks = chunks.unionByName(runs)
+    chunks = materialize(chunks, "line-chunks")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "start", "lines")
     repeated = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") > 1)
-    repeated = materialize(repeated.select("key", F.col("first.rid").alias("first_rid"), F.col("first.k").alias("first_k")), "line-repeats")
-    spots = chunks.join(repeated, "key").withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("k") == F.col("first_k")))
+    repeated = materialize(repeated.select(
+        "key", F.col("first.rid").alias("first_rid"), (F.col("first.start") + F.col("first.lines")).alias("first_end")), "line-repeats")
+    spots = chunks.join(repeated, "key").withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("start") < F.col("first_end")))
     spots = materialize(
         spots.groupBy("rid").agg(F.collect_list(F.struct("start", "lines", "words", "key", "first")).alias("spots")), "line-spots")
     # Bytes under one key are compared; a key that stands for different bytes removes nothing.
     texts = docs.select("rid", "text").join(spots, "rid").select(
         F.split("text", "\n", -1).alias("lines"), F.explode("spots").alias("s")).select(
-        F.col("s.key").alias("key"), F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.lines")), "\n").alias("bytes"))
+        F.col("s.key").alias("key"), F.slice("lines", F.col("s.start") + 1, F.col("s.lines")).alias("part"))
+    if whole:
+        texts = texts.withColumn("part", F.when(F.col("key").startswith(RUN), F.filter("part", lambda x: word_count(x) > 0)).otherwise(F.col("part")))
+    texts = texts.select("key", F.array_join("part", "\n").alias("bytes"))
     unequal = texts.groupBy("key").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).filter("low <> high").select("key")
     unequal = materialize(unequal, "line-unequal")
     removed = spots.select("rid", F.explode("spots").alias("s")).filter("not s.first").select("rid", "s.*")
@@ -79,11 +134,11 @@ def _without(text: Column, cuts: Column) -> Column:
     return F.when(F.size(cuts) > 0, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(text)
 
 
-def _cut(docs: DataFrame, every: int, passage: int) -> DataFrame:
+def _cut(docs: DataFrame, every: int, passage: int, whole: bool = False) -> DataFrame:
     """(row, text, cuts): every row of ``docs`` as a struct, its text without repeats, and what was cut."""
     rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id())
     known = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    joined = rows.join(repeats(known, every, passage), "rid", "left")
+    joined = rows.join(repeats(known, every, passage, whole), "rid", "left")
     return joined.select("row", "cuts", _without(F.col("row.text"), F.col("cuts")).alias("text"))
 
 
@@ -93,7 +148,8 @@ def line_dedup(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE) -> D
     Returns doc_id, text (null stays null; a text may become empty), removed_chunks, removed_lines,
     removed_words. The first place of a chunk, which stays, is that of the smallest doc_id (nulls last),
     then of the first row and the first place in its text. Lines end at \\n only. Repeated rows: the first
-    keeps its chunks. Empty table: no rows. Other columns are not read.
+    keeps its chunks. Empty table: no rows. Other columns are not read. Chunks only, as the SQL twin
+    states: a passage of few lines that no chunk covers stays (``deduped_documents`` removes it).
     """
     out = _cut(docs.select("doc_id", "text"), every, passage)
 
@@ -105,8 +161,12 @@ def line_dedup(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE) -> D
 
 
 def deduped_documents(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE) -> DataFrame:
-    """The documents with the shortened texts (and n_chars, where there is such a column); all rows stay."""
-    out = _cut(docs, every, passage)
+    """The documents with the shortened texts (and n_chars, where there is such a column); all rows stay.
+
+    Removed are the repeated chunks and all repeated runs of whole lines with at least ``passage`` words,
+    wherever chunks end; lines without words inside a run don't count. The first place stays.
+    """
+    out = _cut(docs, every, passage, whole=True)
 
     def value(c: str) -> Column:
         if c == "n_chars":
