@@ -117,6 +117,13 @@ def test_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_fingerprints_without_an_id_link_the_others(spark):
+    near = {(7, 0b0): 7, (None, 0b11): 7, (9, 0b1111): 7, (None, 0b111111): 7, (3, 0xFF << 40): 3, (None, 0xFF << 20): None, (None, 0x3FF << 20): None}
+    rows = spark.createDataFrame([(i, [v]) for i, v in near], "id long, fp array<long>")
+    found = simhash.classes(rows, simhash.pigeonhole(2), 2).collect()
+    assert {(r.id, r.fp[0]): r["class"] for r in found} == near
+
+
 def words_of(draw, n):
     return [f"w{draw.randrange(5000)}" for _ in range(n)]
 

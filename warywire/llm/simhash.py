@@ -292,13 +292,16 @@ def close(x: np.ndarray, y: np.ndarray, radius: int, verify: int | None) -> np.n
 
 def classes(rows: DataFrame, masks: Callable[[int], list[int]], radius: int, verify: int | None = None,
             group: int = GROUP) -> DataFrame:
-    """Adds ``class`` (the smallest ``id`` reachable over links) to rows of (id, fp, ...)."""
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    """Adds ``class`` (the smallest ``id`` reachable over links, null if all are) to rows of (id, fp, ...).
+    Links join distinct fingerprints under numbers of their own, so one whose rows have no id links too."""
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("id", F.monotonically_increasing_id())
     distinct = materialize(distinct, "simhash-distinct")
-    found = components(group_links(distinct.filter("id is not null"), masks, radius, verify, group))
+    found = components(group_links(distinct.select("id", "fp"), masks, radius, verify, group))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("class"))
-    return rows.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
+        F.col("fp").alias("_fp"), "least", F.coalesce("root", "id").alias("root"))
+    named = materialize(named, "simhash-named")
+    smallest = named.groupBy("root").agg(F.min("least").alias("class"))
+    return rows.join(named.join(smallest, "root").select("_fp", "class"), F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, ident: str = "doc_id", text: str = "text") -> DataFrame:
