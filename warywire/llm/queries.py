@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity, urls
+from . import align, ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_common_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_virtual_slots": op2_virtual_slots,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxic_neighbours": op8_toxic_neighbours,
     "op9_top_products": op9_top_products,
     "op10_line_chunks": op10_line_chunks,
+    "op13_common_ends": op13_common_ends,
 }
 
 SQL: dict[str, str] = {
