@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, linededup, mix, pieces, quality, shard, simhash, topk, toxicity, urls
+from . import align, ann, linededup, mix, pieces, quality, resample, shard, simhash, topk, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_word_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_common_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxic_neighbours": op8_toxic_neighbours,
     "op9_top_products": op9_top_products,
     "op10_line_chunks": op10_line_chunks,
+    "op11_word_automaton": op11_word_automaton,
     "op13_common_ends": op13_common_ends,
 }
 
@@ -75,4 +80,5 @@ SQL: dict[str, str] = {
     "op1_mix_sources": mix.SQL,
     "op9_top_products": topk.oracle(),
     "op10_line_chunks": linededup.SQL,
+    "op11_word_automaton": resample.SQL,
 }
