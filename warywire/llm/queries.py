@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, linededup, mix, pieces, quality, resample, shard, simhash, topk, toxicity, urls
+from . import align, ann, jaccard, linededup, mix, pieces, quality, resample, shard, simhash, topk, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op11_word_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_banded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_common_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_top_products": op9_top_products,
     "op10_line_chunks": op10_line_chunks,
     "op11_word_automaton": op11_word_automaton,
+    "op12_banded_tiles": op12_banded_tiles,
     "op13_common_ends": op13_common_ends,
 }
 
