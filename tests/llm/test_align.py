@@ -83,7 +83,7 @@ def test_every_document_as_link_by_link(spark, sf):
 def test_blanks_and_odd_characters(spark):
     draw = random.Random(3)
     parts = ["a", "the", "foo", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "é", "数学", "\U0001f642", "'s", "'", "don't", ".", "123",
-             "<|endoftext|>", "<s>", "<0x41>", "_", "\x1c", "\x85", "\x0b", "İ", "▁", "-", "A"]
+             "<|endoftext|>", "<s>", "<0x41>", "_", ",", ";:", "½,", "\x1c", "\x85", "\x0b", "İ", "▁", "-", "A"]
     texts = ["".join(draw.choices(parts, k=draw.randint(1, 12))) for _ in range(400)] + list(pieces.PROBES)
     texts = [t for t in texts if "\x00" not in t]
     found = rows_of(align.alignment(documents(spark, *enumerate(texts))))

@@ -4,7 +4,7 @@ Both tokenizers encode a text; the cumulative byte lengths of their tokens are t
 sets, found by intersecting the end-to-index dictionaries, cut the two id lists into groups that
 cover the same bytes. Within a group every id of one side is linked to every id of the other.
 
-A text is a row of chunks (a word with the blank before it, or a run of white space) between places that
+A text is a row of chunks (a word with the blank before it, what follows its letters, or a run of white space) between places that
 neither tokenizer's tokens ever cross, so both lists end there and the groups of a text are its chunks'
 groups in a row. Each distinct chunk is encoded and aligned once per worker. Where chunks can't be shown to
 be independent, they stay together, in the worst case as one chunk for the whole text.
@@ -33,9 +33,10 @@ from ..session import materialize
 from . import pieces
 
 BYTES = "/opt/tokenizers/byte_bpe_50k.json"
-BLANKS = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 BLANK = re.compile(f"[{BLANKS}]")
+LETTER = re.compile(r"[^\W\d_]")
+MARKS = ",.;:"
 BLOCK_CHARS = 1_000_000
 CHUNKS = 300_000
 SLICE = 2_000_000
@@ -83,6 +84,10 @@ class Pair:
                       and rules.kind == pieces.BPE and self.b.pre_tokenizer is not None)
         joined = set(chain.from_iterable(t for t, _, kind in rules.pieces if len(t) > 1 and kind in (pieces.NORMAL, pieces.USER, pieces.UNUSED)))
         self.lone = {c for c in map(chr, (*range(9, 14), 0x85, 0xA0)) if c not in joined}  # blanks that no longer piece holds
+        held = {b for t, _, _ in rules.pieces for a, b in zip(t, t[1:]) if LETTER.match(a)}
+        self.marks = "".join(c for c in MARKS if c not in held)  # no piece goes on from a letter to one of these
+        word = rf" ?[^\W\d_]+(?=[{re.escape(self.marks)}])|" if self.marks else ""
+        self.chunk = re.compile(f"{word} ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
         self.odd = re.compile(f"  |(?![ {re.escape(''.join(sorted(self.lone)))}])[{BLANKS}]")
         if self.apart:
             self.b.normalizer = normalizers.Sequence([])
@@ -100,14 +105,15 @@ class Pair:
         text = " " + text
         if not self.apart:
             return [text]
-        parts = CHUNK.findall(text)
+        parts = self.chunk.findall(text)
         if not self.odd.search(text):
             return parts
         out = [parts[0]]
         for part in parts[1:]:
             last = out[-1]
             blank = BLANK.match(last[-1]) is not None
-            cut = (part[0] == " " and not blank) or last[-1] in self.lone or (part[0] in self.lone)
+            cut = (part[0] == " " and not blank) or last[-1] in self.lone or part[0] in self.lone or (
+                part[0] in self.marks and LETTER.match(last[-1]) is not None)
             if cut:
                 out.append(part)
             else:
