@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shared"))
-    session = local_session("8", **{"spark.checkpoint.dir": folder})
+    session = local_session("8", **{"spark.checkpoint.dir": folder, "spark.warywire.rounds.divisor": "50"})
     yield session
     session.stop()
 

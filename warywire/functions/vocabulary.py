@@ -1,6 +1,6 @@
 """Word lists, emoji sets, patterns, weights and category tables.
 
-Everything here must equal the published rules of the scoring scheme for results to
+Entries that another entry of the same list implies are left out. Everything here must equal the published rules of the scoring scheme for results to
 match, so it is stated as plain text and in one place. Patterns use only syntax that
 means the same in Java regular expressions and in RE2, with the character classes
 below spelled out to the Unicode meaning of white space, digits and word characters.

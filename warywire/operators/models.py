@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources.files import literal_messages
 from . import stats as ST
 from .conform import with_scoring_defaults
@@ -85,13 +85,21 @@ def fit_classifier(matrix: DataFrame, kind: str, label: str = "label", seed: int
     """A classifier fitted on rows that carry the scaled design matrix."""
     options = {**SETTINGS[kind], **params, "featuresCol": "scaled", "labelCol": label}
     if kind not in ("logistic", "svm"):
-        options["seed"] = seed
+        # long trainings cut their lineage in the shared folder; a forest's levels also keep where each row is
+        options = {"checkpointInterval": 10, "maxMemoryInMB": 512, "cacheNodeIds": kind == "forest", **options, "seed": seed}
+        checkpoints(matrix.sparkSession)
     if WEIGHTS[kind]:
         matrix = ST.with_class_weight(matrix, WEIGHTS[kind], label)
         options["weightCol"] = "weight"
     return CLASSES[kind](**options).fit(matrix)
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoints go to the shared folder, unless a folder is set."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def fit_prepared(rows: DataFrame, kind: str, label: str = "label", tfidf_size: int = 200, **params) -> PipelineModel:
     """Fit the matrix stages and a classifier on ``prepared`` rows; returns the whole pipeline."""
     matrix = fit_matrix(rows, tfidf_size)

@@ -11,7 +11,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -70,17 +69,29 @@ def tfidf_model(terms: DataFrame, size: int = 200, min_df: int = 1, col: str = "
     docs = terms.count()
     if not rows:
         raise ValueError("empty vocabulary")
-    counts = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=col, outputCol=f"{out}_tf")
-    weights = ElementwiseProduct(scalingVec=Vectors.dense([idf(r.df, docs) for r in rows]),
-                                 inputCol=f"{out}_tf", outputCol=f"{out}_raw")
-    return PipelineModel([counts, weights, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)])
+    return tfidf_stages([r.term for r in rows], [idf(r.df, docs) for r in rows], col, out)
+
+
+def tfidf_stages(words: list[str], weights: list[float], col: str = "terms", out: str = "tfidf") -> PipelineModel:
+    """Count the words of a vocabulary, weight them and scale rows to unit length, all on sparse vectors."""
+    counts = CountVectorizerModel.from_vocabulary(words, inputCol=col, outputCol=f"{out}_tf")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=f"{out}_tf", outputCol=f"{out}_raw")
+    return PipelineModel([counts, scale, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)])
+
+
+def entries(vector: Column) -> Column:
+    """The non-zero entries of a vector, sparse or dense, as an array of (i, value)."""
+    v = F.unwrap_udt(vector)
+    at = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    pairs = F.arrays_zip(at.alias("i"), v["values"].alias("value"))
+    return F.when(F.size(v["values"]) > 0, F.filter(pairs, lambda e: e["value"] != 0))
 
 
 def tfidf(terms: DataFrame, model: PipelineModel, ident: str = "message_id") -> DataFrame:
     """Long form (id, term, weight), weights above 0 only."""
     words = F.array(*[F.lit(t) for t in model.stages[0].vocabulary])
-    out = model.transform(terms).select(ident, F.posexplode(vector_to_array(model.stages[-1].getOutputCol())).alias("i", "weight"))
-    return out.filter(F.col("weight") > 0).select(ident, F.element_at(words, F.col("i") + 1).alias("term"), "weight")
+    out = model.transform(terms).select(ident, F.inline(entries(F.col(model.stages[-1].getOutputCol()))))
+    return out.select(ident, F.element_at(words, F.col("i") + 1).alias("term"), F.col("value").alias("weight"))
 
 
 def categories(df: DataFrame, col: str, max_values: int = 1000) -> list[str]:

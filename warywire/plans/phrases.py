@@ -1,4 +1,26 @@
-"""Example messages (text, class) used to phrase the derived messages view."""
+"""Example messages (text, class) used to phrase the derived messages view: fixed values, and messages composed
+from the word lists so that every list is met."""
+
+from ..functions import vocabulary as V
+
+SUBJECTS = ("the report", "my bicycle", "a library book", "the garden door", "our train")
+
+
+def composed(rows: int = 13) -> list[tuple[str, str]]:
+    """Messages put together from the word lists, each list at its own pace: two of three offer something, the
+    third is plain talk."""
+    slang = sorted(V.SLANG)
+    turn = lambda words, i, step: words[i * step % len(words)]
+    out = []
+    for i in range(rows):
+        if i % 3 == 2:
+            out.append((f"{turn(V.GREETING, i, 1)}, {turn(SUBJECTS, i, 2)} is {turn(V.TIME, i, 5)} at number {i}", "low"))
+        else:
+            amount = f", {i + 2}{turn(('g', 'oz', ' tab'), i, 1)} ${15 * i + 20}" if i % 2 else ""
+            out.append((f"{turn(slang, i, 11)} {turn(V.QUALITY, i, 3)}{amount}: {turn(V.TRANSACTION, i, 2)}, "
+                        f"{turn(V.LOCATION, i, 3)}, {turn(V.PAYMENT, i, 2)} {turn(V.DISCRETION, i, 1)} {turn(V.URGENCY, i, 4)}", "high"))
+    return out
+
 
 PHRASES: tuple[tuple[str, str], ...] = (
     ("Hello, how are you today?", "low"),
@@ -26,19 +48,7 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("new batch just landed, limited time only", "high"),
     ("🔌 💊 💵", "high"),
     ("🎯 🎪 🎭", "low"),
-    ("my plug has fire right now, dm me, cash only, be quick asap", "high"),
-    ("do you know when we meet tomorrow?", "low"),
-    ("want a bump later tonight, dm details", "high"),
-    ("please mail me the slides of our project", "low"),
-    ("molly, fresh batch, best quality, just landed here", "high"),
-    ("who comes to the gym with me later?", "low"),
-    ("any weed around this area? paying cash only", "high"),
-    ("all the best on your birthday, enjoy it!", "low"),
-    ("10 bars for sale tonight, verified plug", "high"),
-    ("white girl, pure, no cut, tested on the scale", "high"),
-    ("Hi, how is it going? Shall we have a coffee this afternoon?", "low"),
-    ("good stuff 🍁💊 for $50, quick meet by the mall 💰 DM ASAP", "high"),
-    ("We meet at 3 PM, so bring last quarter's figures please.", "low"),
+    *composed(),
     ("yo got fire 💊 dm me $30 cash only asap", "high"),
     ("grow a 🪴 and 5 ounce", "high"),
     ("mary jane, weed weed candy", "high"),
