@@ -11,8 +11,8 @@ among the first (1 - s) of each in any common order, so:
    a candidate if its bitmap signatures leave it possible: the set bits of their difference bound the overlap from above.
    Candidates are settled by intersecting the sorted arrays.
 
-Equal sets are one. A tile first meets only a few of its members (pivots), which ties groups of near copies together; only tiles that
-then still hold sets of different components are compared member by member, in parts of bounded size.
+Equal sets are one. The members of a tile first meet only a few of them (pivots), in rounds, which ties groups of near copies together;
+tiles that then still hold sets of different components are compared member by member, in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, materialize
+from ..session import bounded_broadcast, discard, materialize
 from .components import components
 
 SHINGLE = 5
@@ -34,6 +34,7 @@ BLOCK = 500_000
 RANGE = 1_000_000
 TILE = 256
 PIVOTS = 3
+ROUNDS = 2
 WORDS = 300_000
 
 
@@ -278,7 +279,8 @@ def anchored(stored: DataFrame, size: int, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set numbers whose sets overlap enough."""
-    one = sets.select("sid", "n", "signature", "hashes")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    one = sets.select("sid", "n", "signature", "hashes").join(bounded_broadcast(named, 500_000), "sid", "left_semi")
     rows = pairs.join(one.toDF("a", "n", "sig", "set"), "a").join(one.toDF("b", "m", "sig_b", "set_b"), "b")
 
     def run(batches):
@@ -299,61 +301,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(sets: DataFrame, percent: int) -> DataFrame:
-    """(anchor, band, sid, n): every set in the tiles of its anchors, in that of its size band and the next one up."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
-    filed = sets.select("sid", "n", F.explode("anchors").alias("anchor"), band.alias("own"))
-    return filed.select("anchor", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"), "sid", "n")
+    """(anchor, pos, band, own, sid, n): every set in the tiles of its anchors, in that of its own size band and the next one up."""
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    filed = sets.select("sid", "n", F.posexplode("anchors").alias("pos", "anchor"), own.alias("own"))
+    return filed.select("anchor", "pos", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"), "own", "sid", "n")
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def to_pivots(filed: DataFrame, percent: int, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs of every tile's members with some of them, the least under several hashes. The first pivot is the same for all of a group's tiles, mostly."""
-    least = [F.min_by("sid", F.xxhash64("sid", F.lit(k))).alias(f"p{k}") for k in range(pivots)]
-    sizes = [F.min_by("n", F.xxhash64("sid", F.lit(k))).alias(f"n{k}") for k in range(pivots)]
-    heads = filed.groupBy("anchor", "band").agg(F.count("*").alias("members"), *least, *sizes).filter("members > 1")
-    met = filed.join(heads, ["anchor", "band"])
-    pair = [F.struct(F.col(f"p{k}").alias("p"), F.col(f"n{k}").alias("m")) for k in range(pivots)]
-    met = met.select("sid", "n", F.explode(F.array_distinct(F.array(*pair))).alias("e")).filter(
-        (F.col("e.p") != F.col("sid")) & fits(F.col("n"), F.col("e.m"), percent))
+def open_tiles(filed: DataFrame) -> DataFrame:
+    """The members of tiles that hold sets of different components (column ``root``)."""
+    counts = filed.groupBy("anchor", "band").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return filed.join(counts.filter("r0 <> r1").select("anchor", "band", "members"), ["anchor", "band"])
+
+
+def to_pivots(filed: DataFrame, percent: int, seed: int, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs of every tile's members with some of them of other components, the least under several hashes."""
+    heads = [F.min(F.struct(F.xxhash64("sid", F.lit(seed + k)).alias("h"), F.col("sid").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"))).alias(f"p{k}")
+             for k in range(pivots)]
+    met = filed.join(filed.groupBy("anchor", "band").agg(*heads), ["anchor", "band"])
+    met = met.select("sid", "n", "root", F.explode(F.array(*[f"p{k}" for k in range(pivots)])).alias("e")).filter(
+        (F.col("e.r") != F.col("root")) & fits(F.col("n"), F.col("e.m"), percent))
     return met.select(F.greatest("sid", "e.p").alias("a"), F.least("sid", "e.p").alias("b")).distinct()
 
 
 def within_tiles(filed: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Candidate pairs of different components in the tiles of (anchor, band, sid, n, root).
+    """Candidate pairs of different components in open tiles (anchor, pos, band, own, sid, n, root, members).
 
-    Tiles with one component are done. The others are dealt into parts of about ``tile`` members; a member
-    goes to one group for each part that its own is compared with.
+    Tiles are dealt into parts of about ``tile`` members; a member goes to one group for each part that its own is
+    compared with. A pair meets in the tiles of all its common anchors and is a candidate in one: that of the first
+    of them, and of the larger set's band.
     """
-    counts = filed.groupBy("anchor", "band").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_tiles = counts.filter("r0 <> r1").select("anchor", "band", F.ceil(F.col("members") / tile).cast("int").alias("parts"))
-    rows = filed.join(open_tiles, ["anchor", "band"]).withColumn("part", F.pmod(F.xxhash64("sid", "anchor"), F.col("parts").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("other", other).select(
-        "anchor", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "root")
-    rows = rows.join(sets.select("sid", "signature"), "sid").withColumn("g", F.xxhash64("anchor", "band", "i", "j"))
+    parts = F.ceil(F.col("members") / tile).cast("int")
+    rows = filed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid", "anchor"), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "anchor", "pos", "band", "own", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "n", "root")
+    rows = rows.join(sets.select("sid", "signature", "anchors"), "sid").withColumn("g", F.xxhash64("anchor", "band", "i", "j")).withColumn(
+        "before", F.slice("anchors", F.lit(1), F.col("pos")))
 
     def run(batches):
         import pyarrow as pa
 
         def pairs():
-            part, sid, n, root = (np.array([h[c] for h in held], np.int64) for c in (2, 3, 4, 5))
-            i, j = held[0][1][2], held[0][1][3]
+            part, sid, n, root, own = (np.array([h[c] for h in held], np.int64) for c in (2, 3, 4, 5, 6))
+            _, band, i, j = held[0][1]
+            size = min(len(h[7]) for h in held)
+            bits = np.stack([folded(h[7], size) for h in held])
+            before = [frozenset(h[8]) for h in held]
             out = []
-            size = min(len(h[6]) for h in held)
-            bits = np.stack([folded(h[6], size) for h in held])
             for x in range(len(held)):
-                y = np.flatnonzero((sid > sid[x]) & (root != root[x]) & ((part != part[x]) | (i == j))
+                y = np.flatnonzero((sid > sid[x]) & (root != root[x]) & ((part != part[x]) | (i == j)) & (np.maximum(own, own[x]) == band)
                                    & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
                 if len(y):
                     apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64)
                     shared = np.maximum(0, n[y] + n[x] - apart) // 2
                     y = y[100 * shared >= percent * (n[y] + n[x] - shared)]
-                    out.append(np.stack([sid[y], np.full(len(y), sid[x])]))
-            found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                    first = before[x]
+                    out += [(sid[k], sid[x]) for k in y.tolist() if first.isdisjoint(before[k])]
+            found = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         held: list = []
         for batch in batches:
@@ -367,8 +375,8 @@ def within_tiles(filed: DataFrame, sets: DataFrame, percent: int, tile: int = TI
             yield pairs()
 
     width = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("g", "anchor", "band", "i", "j", "part", "sid", "n", "root", "signature").repartition(width, "g")
-    return dealt.sortWithinPartitions("g", "anchor", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("g", "anchor", "band", "i", "j", "part", "sid", "n", "root", "own", "signature", "before").repartition(width, "g")
+    return dealt.sortWithinPartitions("g", "anchor", "band", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, share: float = COUNTED, block: int = BLOCK,
@@ -385,24 +393,31 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     each = first.select("block", F.posexplode(F.arrays_zip("doc_ids", "n", "d1", "d2", "keys"))).select(
         "block", F.col("pos").alias("at"), F.col("col.doc_ids").alias("doc_id"), F.col("col.n").alias("n"), F.col("col.d1").alias("d1"),
         F.col("col.d2").alias("d2"), F.col("col.keys").alias("key"))
+    each = materialize(each, "jaccard-each")
     able = materialize(surviving(first, share, size, percent), "jaccard-able")
+    discard(first)
     # One text of each set that may have a partner is read again.
     keys = each.join(able, ["block", "at"]).groupBy("d1", "d2").agg(F.min("key").alias("key")).select("key")
     keys = materialize(keys, "jaccard-keys")
     again = rows.join(bounded_broadcast(keys, 500_000), "key", "left_semi")
-    second = materialize(blocks(again, shingle, 1.0, block), "jaccard-sets")
-    found = materialize(anchored(second, size, percent), "jaccard-anchored")
-    numbered = found.groupBy("d1", "d2").agg(F.count("*").alias("copies")).select("d1", "d2").withColumn("sid", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "jaccard-numbers")
-    sets = materialize(found.join(numbered, ["d1", "d2"]).dropDuplicates(["sid"]).drop("d1", "d2"), "jaccard-numbered")
-    filed = materialize(tiles(sets, percent), "jaccard-tiles")
-    links = materialize(verified(materialize(to_pivots(filed, percent), "jaccard-pivots"), sets, percent), "jaccard-links")
-    named = components(links)
-    rooted = filed.join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    pairs = materialize(within_tiles(materialize(rooted, "jaccard-rooted"), sets, percent, tile), "jaccard-pairs")
+    second = materialize(blocks(again, shingle, 1.0, block), "jaccard-second")
+    sets = materialize(anchored(second, size, percent).withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
+    discard(second)
+    numbered = materialize(sets.groupBy("d1", "d2").agg(F.min("sid").alias("sid")), "jaccard-numbers")  # of equal sets one is filed
+    filed = tiles(sets.select("sid", "n", "anchors").join(numbered.select("sid"), "sid", "left_semi"), percent)
+    filed = materialize(filed.withColumn("root", F.col("sid")), "jaccard-tiles")
+    filed = materialize(open_tiles(filed), "jaccard-open")
+    links = None
+    for r in range(ROUNDS):
+        more = materialize(verified(materialize(to_pivots(filed, percent, r * PIVOTS), "jaccard-pivots"), sets, percent), "jaccard-links")
+        links = more if links is None else links.unionAll(more)
+        named = components(links)
+        rooted = filed.drop("root", "members").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        filed = materialize(open_tiles(rooted), "jaccard-open")
+    pairs = materialize(within_tiles(filed, sets, percent, tile), "jaccard-pairs")
     more = materialize(verified(pairs, sets, percent), "jaccard-more")
     if more.limit(1).count():
-        named = components(named.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+        named = components(links.unionAll(more))
     classes = numbered.join(named, F.col("sid") == F.col("node"), "left").select("d1", "d2", F.coalesce("root", "sid").alias("root"))
     smallest = each.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least")).join(classes, ["d1", "d2"], "left")
     smallest = materialize(smallest, "jaccard-classes")
