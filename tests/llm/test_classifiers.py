@@ -125,3 +125,32 @@ def test_toxic_documents_go_and_others_keep_their_columns(spark):
     flagged = {r.doc_id for r in op8_toxic_neighbours(spark, BIG).collect() if r.predicted}
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & flagged and len(ids) + len(flagged) == docs.count()
+
+
+def test_neighbours_of_whole_texts_are_the_nearest_by_cosine(spark, sf):
+    docs, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, marks)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(model.index.ids.tolist()) <= set(texts)
+    words = set(model.vocabulary.words)
+    # document frequencies of all documents, counted anew
+    some = sorted(words)[::97]
+    for w in some:
+        n = sum(w in set(toxicity.WORD.findall(t.lower())) for t in texts.values())
+        assert model.vocabulary.idf[model.vocabulary.words[w]] == pytest.approx(np.log((1 + len(texts)) / (1 + n)) + 1)
+    vectors = {i: dict(zip(*(v.tolist() for v in model.vocabulary.vector(t)[:2]))) for i, t in texts.items()}
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, text in texts.items():
+        assert bool(found[i].neighbours) == bool(words & set(toxicity.WORD.findall(text.lower())) or vectors[i])
+        cosines = sorted((sum(w * vectors[int(e)].get(t, 0.0) for t, w in vectors[i].items()) for e in model.index.ids), reverse=True)
+        best = [c for c in cosines[:toxicity.NEIGHBOURS] if c > 0]
+        assert found[i].cosines == pytest.approx(best, abs=1e-9)
+
+
+def test_a_copy_of_an_example_meets_it(spark, sf):
+    docs, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, marks)
+    ident = int(model.index.ids[0])
+    text = docs.filter(f"doc_id = {ident}").first().text
+    _, near, cosines = model.score(text)
+    assert cosines[0] == pytest.approx(1.0) and ident in [n for n, c in zip(near, cosines) if c > 1 - 1e-9]
