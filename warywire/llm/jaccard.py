@@ -33,8 +33,7 @@ COUNTED = 5 / 16  # of the hash space, in the first counting
 BLOCK = 500_000
 RANGE = 1_000_000
 TILE = 256
-PIVOTS = 3
-ROUNDS = 2
+PIVOTS = (1, 3)  # in the first round, and in the second
 WORDS = 300_000
 
 
@@ -317,7 +316,7 @@ def open_tiles(filed: DataFrame) -> DataFrame:
     return filed.join(counts.filter("r0 <> r1").select("anchor", "band", "members"), ["anchor", "band"])
 
 
-def to_pivots(filed: DataFrame, percent: int, seed: int, pivots: int = PIVOTS) -> DataFrame:
+def to_pivots(filed: DataFrame, percent: int, seed: int, pivots: int) -> DataFrame:
     """Pairs of every tile's members with some of them of other components, the least under several hashes."""
     heads = [F.min(F.struct(F.xxhash64("sid", F.lit(seed + k)).alias("h"), F.col("sid").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"))).alias(f"p{k}")
              for k in range(pivots)]
@@ -327,6 +326,9 @@ def to_pivots(filed: DataFrame, percent: int, seed: int, pivots: int = PIVOTS) -
     return met.select(F.greatest("sid", "e.p").alias("a"), F.least("sid", "e.p").alias("b")).distinct()
 
 
+NAMES = ("g", "anchor", "band", "i", "j", "part", "sid", "n", "root", "own", "signature")
+
+
 def within_tiles(filed: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Candidate pairs of different components in open tiles (anchor, pos, band, own, sid, n, root, members).
 
@@ -349,7 +351,13 @@ def within_tiles(filed: DataFrame, sets: DataFrame, percent: int, tile: int = TI
             _, band, i, j = held[0][1]
             size = min(len(h[7]) for h in held)
             bits = np.stack([folded(h[7], size) for h in held])
-            before = [frozenset(h[8]) for h in held]
+            before: dict[int, frozenset] = {}
+
+            def earlier(k: int) -> frozenset:
+                if k not in before:
+                    before[k] = frozenset(held[k][8].tolist())
+                return before[k]
+
             out = []
             for x in range(len(held)):
                 y = np.flatnonzero((sid > sid[x]) & (root != root[x]) & ((part != part[x]) | (i == j)) & (np.maximum(own, own[x]) == band)
@@ -358,24 +366,26 @@ def within_tiles(filed: DataFrame, sets: DataFrame, percent: int, tile: int = TI
                     apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64)
                     shared = np.maximum(0, n[y] + n[x] - apart) // 2
                     y = y[100 * shared >= percent * (n[y] + n[x] - shared)]
-                    first = before[x]
-                    out += [(sid[k], sid[x]) for k in y.tolist() if first.isdisjoint(before[k])]
+                    out += [(sid[k], sid[x]) for k in y.tolist() if earlier(x).isdisjoint(earlier(k))]
             found = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         held: list = []
         for batch in batches:
-            for g, anchor, band, i, j, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+            lists = batch.column("before")
+            anchors, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            rows = zip(*[batch.column(c).to_pylist() for c in NAMES])
+            for at, (g, anchor, band, i, j, *rest) in enumerate(rows):
                 key = (g, (anchor, band, i, j))
                 if held and held[0][:2] != key:
                     yield pairs()
                     held.clear()
-                held.append((*key, *rest))
+                held.append((*key, *rest, anchors[ends[at]:ends[at + 1]]))
         if held:
             yield pairs()
 
     width = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("g", "anchor", "band", "i", "j", "part", "sid", "n", "root", "own", "signature", "before").repartition(width, "g")
+    dealt = rows.select(*NAMES, "before").repartition(width, "g")
     return dealt.sortWithinPartitions("g", "anchor", "band", "i", "j").mapInArrow(run, "a long, b long")
 
 
@@ -408,8 +418,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     filed = materialize(filed.withColumn("root", F.col("sid")), "jaccard-tiles")
     filed = materialize(open_tiles(filed), "jaccard-open")
     links = None
-    for r in range(ROUNDS):
-        more = materialize(verified(materialize(to_pivots(filed, percent, r * PIVOTS), "jaccard-pivots"), sets, percent), "jaccard-links")
+    for r, pivots in enumerate(PIVOTS):
+        more = materialize(verified(materialize(to_pivots(filed, percent, 100 * r, pivots), "jaccard-pivots"), sets, percent), "jaccard-links")
         links = more if links is None else links.unionAll(more)
         named = components(links)
         rooted = filed.drop("root", "members").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
