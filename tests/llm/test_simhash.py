@@ -157,3 +157,64 @@ def test_one_of_equal_rows_stays(spark):
     docs = documents(spark, (1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, ""), (4, "z " * 100_000))
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2, 4]
     assert simhash.one_of_each(docs.filter("false")).count() == 0
+
+
+def shingled(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    x, y = shingled(a), shingled(b)
+    return len(x & y) / len(x | y)
+
+
+def pairs_at(draw, similarity, n, words=400):
+    """Pairs of texts whose exact five-word similarity is as near to the given one as single changed words allow."""
+    out = []
+    for _ in range(n):
+        a = words_of(draw, words)
+        b, places = list(a), draw.sample(range(words), words)
+        best = (1.0, list(b))
+        for at in places:
+            b[at] = f"x{draw.randrange(10**6)}"
+            s = jaccard(" ".join(a), " ".join(b))
+            if abs(s - similarity) <= abs(best[0] - similarity):
+                best = (s, list(b))
+            if s < similarity - 0.03:
+                break
+        out.append((" ".join(a), " ".join(best[1]), best[0]))
+    return out
+
+
+def test_recall_from_the_bound_on_and_nothing_below(spark):
+    draw = random.Random(31)
+    rows, kind = [], {}
+    for k, similarity in enumerate((0.75, 0.79, 0.805, 0.85)):
+        for i, (a, b, exact) in enumerate(pairs_at(draw, similarity, 120)):
+            at = 10_000 * k + 2 * i
+            rows += [(at, a), (at + 1, b)]
+            kind[at + 1] = exact
+    kept = {r.doc_id for r in simhash.one_of_each(documents(spark, *rows)).collect()}
+    assert all(i in kept for i, _ in rows if i % 2 == 0)
+    above, below = [i for i, s in kind.items() if s >= 0.8], [i for i, s in kind.items() if s < 0.8]
+    assert len(above) > 200 and sum(i not in kept for i in above) >= 0.95 * len(above)
+    assert len(below) > 200 and all(i in kept for i in below)
+
+
+def test_masks_follow_the_table_and_the_chance_of_a_miss():
+    assert [m.bit_count() for _, m in simhash.masks_for(1 << 18, 0.8)][:2] == [16, 16]
+    assert simhash.tables_for(20, 0.8) > simhash.tables_for(16, 0.8) > simhash.tables_for(12, 0.8)
+    assert {w for w, _ in simhash.masks_for(1000, 0.8)} == {0, 1, 2, 3}
+
+
+def test_a_large_group_of_near_copies_in_parts(spark, monkeypatch):
+    draw = random.Random(6)
+    text = words_of(draw, 200)
+    rows = []
+    for i in range(600):
+        copy = list(text)
+        copy[draw.randrange(200)] = f"y{i}"
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (50, simhash.NEAREST))
+    assert [r.doc_id for r in simhash.one_of_each(documents(spark, *rows)).collect()] == [0]

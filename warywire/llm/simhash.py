@@ -14,7 +14,8 @@ representative per local component, never all its pairs; components join them ov
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -22,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import bounded_broadcast, materialize
 from .common import bounded_rows
 from .components import components
+from .jaccard import Hasher, signature, verified
 
 SEED = 42
 BITS = 64
@@ -110,8 +112,16 @@ def linked(codes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarra
     members hold the bits on which all members agree; a query descends only into nodes from which it
     differs in at most ``radius`` of those bits.
     """
+    root = np.arange(len(codes))
+    for q, node in near_pairs(codes, radius):
+        kept = near(q, node)
+        join(root, q[kept], node[kept])
+    return settle(root)
+
+
+def near_pairs(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (the smaller first) of Gray-ordered codes that differ in at most ``radius`` bits, in parts."""
     n = len(codes)
-    root = np.arange(n)
     levels = []
     low, high = codes, codes  # bits set in all members, bits set in any member
     while len(low) > LEAF:
@@ -132,10 +142,7 @@ def linked(codes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarra
             kept = (node < below) & (node >= 0)
             q, node = q[kept], node[kept]
         kept = (node > q) & (np.bitwise_count(codes[q] ^ codes[node]) <= radius)
-        q, node = q[kept], node[kept]
-        kept = near(q, node)
-        join(root, q[kept], node[kept])
-    return settle(root)
+        yield q[kept], node[kept]
 
 
 def settle(root: np.ndarray) -> np.ndarray:
@@ -172,20 +179,6 @@ def pigeonhole(radius: int) -> Callable[[int], list[int]]:
     return below
 
 
-def sampled(tables: int, bits: int, finer_tables: int = 16, finer_bits: int = 8, seed: int = 5) -> Callable[[int], list[int]]:
-    """Masks of random bits: ``tables`` of ``bits`` bits, and below each of them some with further bits."""
-
-    def below(mask: int) -> list[int]:
-        if mask.bit_count() > bits:
-            return []
-        free = [i for i in range(BITS) if not mask >> i & 1]
-        draw = np.random.default_rng([seed, mask >> 32, mask & 0xFFFFFFFF])
-        n, size = (finer_tables, finer_bits) if mask else (tables, bits)
-        return [mask | sum(1 << int(b) for b in draw.choice(free, size, replace=False)) for _ in range(n)]
-
-    return below
-
-
 def group_links(fps: DataFrame, masks: Callable[[int], list[int]], radius: int, verify: int | None = None, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints: per group of equal masked bits, each member and its
     local component's representative.
@@ -322,32 +315,162 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 WORDS = 4
 PIPELINE_SHINGLE = 5
-SIMILARITY = 0.8
-TABLES = 64
-TABLE_BITS = 16
+PERCENT = 80
+MISS = 0.01
+DEVIATIONS = 4
+NEAREST = 4
+PART = 2048
+
+
+def apart(similarity: float) -> float:
+    """The chance that a fingerprint bit differs between shingle sets of that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bits_for(similarity: float, bits: int, deviations: float = DEVIATIONS) -> int:
+    """How many of ``bits`` fingerprint bits may differ: the expected number and some standard deviations."""
+    q = apart(similarity)
+    return math.ceil(q * bits + deviations * math.sqrt(bits * q * (1 - q)))
+
+
+def tables_for(bits: int, similarity: float, miss: float = MISS, words: int = WORDS) -> int:
+    """How many random masks of ``bits`` bits, dealt over ``words`` words, miss a pair of that similarity with a chance of ``miss`` at most."""
+    q = apart(similarity)
+    each = [(math.comb(BITS, d) * q**d * (1 - q) ** (BITS - d), math.comb(BITS - d, bits) / math.comb(BITS, bits)) for d in range(BITS - bits + 1)]
+    rest = 1 - sum(p for p, _ in each)
+    m = 1
+    while (rest + sum(p * (1 - hit) ** m for p, hit in each)) ** words > miss:
+        m += 1
+    return m * words
+
+
+def masks_for(rows: int, similarity: float, seed: int = 5) -> list[tuple[int, int]]:
+    """(word, mask) for a table of that many fingerprints: the masks grow with its logarithm, so that a pattern has
+    few members by chance, and their number follows from the chance of a miss."""
+    bits = min(40, max(4, math.ceil(math.log2(max(2, rows))) - 2))
+    draw = np.random.default_rng([seed, bits])
+    return [(t % WORDS, sum(1 << int(b) for b in draw.choice(BITS, bits, replace=False))) for t in range(tables_for(bits, similarity))]
+
+
+def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int = NEAREST) -> DataFrame:
+    """Pairs (a, b) of ids of (id, fp) that may be that similar: under each masked pattern a member's nearest ones.
+
+    A pattern with more than ``part`` members is dealt into parts, by another hash under every mask, so copies of one text
+    that share many patterns meet in others. Each member emits ``nearest`` pairs for a pattern at most.
+    """
+    masks = masks_for(fps.count(), similarity)
+    radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
+    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))).alias("key")) for t, (w, m) in enumerate(masks)])
+    filed = fps.select(F.explode(entry).alias("e"), "id", "fp").select("e.t", "e.key", "id", "fp")
+    counts = filed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / part).cast("long")
+    dealt = filed.join(counts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), parts)).select("t", "key", "part", "id", "fp")
+
+    def run(batches):
+        import pyarrow as pa
 
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(edges_of(table))[-1])
+            if cut:
+                yield pairs_of(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
 
-def bits_for(similarity: float, bits: int) -> int:
-    """How many of ``bits`` fingerprint bits may differ between shingle sets of that Jaccard similarity: the
-    expected number and one standard deviation."""
-    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(apart * bits + np.sqrt(bits * apart * (1 - apart))))
+    def edges_of(table):
+        t, key, at = (table.column(c).to_numpy() for c in ("t", "key", "part"))
+        return np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1])]
 
+    def pairs_of(table):
+        import pyarrow as pa
+
+        ids, t = table.column("id").to_numpy(), table.column("t").to_numpy()
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        edges = np.flatnonzero(np.r_[edges_of(table), True])
+        sizes = np.diff(edges)
+        found = [np.zeros((2, 0), np.int64)]
+
+        def near(i, j):
+            kept = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= verify
+            found.append(np.stack([i[kept], j[kept]]))
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = PIPELINE_SHINGLE) -> DataFrame:
+        for start, size in zip(edges[:-1][sizes > 64], sizes[sizes > 64]):
+            word = fp[start:start + size, masks[t[start]][0]]
+            rows = start + np.argsort(gray_rank(word), kind="stable")
+            own = len(found)
+            for q, node in near_pairs(fp[rows, masks[t[start]][0]].copy(), radius):
+                near(rows[q], rows[node])
+            found[own:] = [closest(np.concatenate(found[own:], axis=1), fp, nearest)] if len(found) > own else []
+        small = np.flatnonzero(sizes <= 64)
+        for size in np.unique(sizes[small]):  # short runs of one size are compared together
+            a, b = np.triu_indices(size, 1)
+            if not len(a):
+                continue
+            starts = edges[:-1][sizes == size]
+            step = max(1, PAIRS // len(a))
+            for at in range(0, len(starts), step):
+                near((starts[at:at + step, None] + a).ravel(), (starts[at:at + step, None] + b).ravel())
+        best = closest(np.concatenate(found, axis=1), fp, nearest)
+        x, y = ids[best[0]], ids[best[1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = dealt.repartition(width, "t", "key", "part").sortWithinPartitions("t", "key", "part")
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def closest(pairs: np.ndarray, fp: np.ndarray, nearest: int) -> np.ndarray:
+    """Of pairs of places, those where one is among the other's ``nearest`` by differing bits."""
+    both = np.concatenate([pairs, pairs[::-1]], axis=1)
+    far = np.bitwise_count(fp[both[0]] ^ fp[both[1]]).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((both[1], far, both[0]))
+    own = both[0][order]
+    first = np.flatnonzero(np.r_[len(own) > 0, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    kept = both[:, order[rank < nearest]]
+    return np.unique(np.sort(kept, axis=0), axis=1)
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(sid, n, signature, hashes): the exact shingle sets of (id, text), as the confirmation takes them."""
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = Hasher(shingle)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [hasher.sets(t.as_py()) for t in batch.column(1).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(at, 500), pa.array([len(f) for f in found], pa.int32()),
+                    pa.array([signature(f) if len(f) else b"" for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
+                    names=["sid", "n", "signature", "hashes"])
+
+    return rows.select("id", F.col("text").cast("binary")).mapInArrow(run, "sid long, n int, signature binary, hashes binary")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = PIPELINE_SHINGLE) -> DataFrame:
     """The documents with one of each near-duplicate group kept, columns and values unchanged.
 
-    Fingerprints of 4 x 64 bits over five-word shingles; two texts are near duplicates if no more
-    bits differ than a Jaccard similarity of ``similarity`` makes likely (``bits_for``). Candidates come from sampled masks of
-    the first word. Of each group the row with the smallest doc_id stays (nulls last; of repeated rows the
-    first). Null, empty and blank texts are one group. Empty table: no rows.
+    Candidates are found by fingerprints of 4 x 64 bits over five-word shingles (``candidates``), then confirmed: a link needs a Jaccard
+    similarity of ``percent`` in a hundred of the exact shingle sets. Equal fingerprints are one. Of each group the row with the smallest
+    doc_id stays (nulls last; of repeated rows the first). Null, empty and blank texts are one group. Empty table: no rows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.monotonically_increasing_id())
-    marked = fingerprints(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")),
-                          ["id", "doc_id"], "text", shingle, WORDS)
-    marked = materialize(marked, "simhash-fingerprints")
-    found = classes(marked.select("id", "fp", "doc_id"), sampled(TABLES, TABLE_BITS), bits_for(similarity, BITS) + 1,
-                    bits_for(similarity, BITS * WORDS), 4 * GROUP)
-    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "simhash-rows")
+    texts = rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    marked = materialize(fingerprints(texts, ["id", "doc_id"], "text", shingle, WORDS), "simhash-fingerprints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
+    pairs = materialize(candidates(distinct, percent / 100), "simhash-pairs")
+    named = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    sets = shingle_sets(texts.join(bounded_broadcast(materialize(named, "simhash-named"), 500_000), "id", "left_semi"), shingle)
+    links = verified(pairs, materialize(sets.filter("n > 0"), "simhash-sets"), percent)
+    found = components(materialize(links, "simhash-links"))
+    classes_ = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("class"))
+    first = marked.join(classes_, F.col("fp") == F.col("_fp")).groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
     stay = first.select(F.col("first.id").alias("id"))
     return rows.join(stay, "id", "left_semi").select("row.*")
