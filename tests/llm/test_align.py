@@ -114,6 +114,7 @@ def test_a_long_group_counts_all_its_links():
     b = [5] + [6, 5] * 6 + [6]
     text = b"".join(pair.bytes_b[i] for i in b)
     pair.bytes_a = {1: text[:-1], 2: text[-1:]}
+    pair.whole, pair.spans_a, pair.spans_b = False, [0, len(text) - 1, 1], [0] * 5 + [1, 3]
     pair.enter(text, [1, 2], b)
     assert list(pair.numbers) == [2, len(b), 1, 2 * len(b), 1]
 
@@ -122,6 +123,7 @@ def test_a_long_group_counts_all_its_links():
 def test_links_add_up(long):
     pair = align.Pair(open(align.BYTES).read(), pieces.read_model())
     pair.bytes_a, pair.bytes_b = {1: b"ab", 2: b"a"}, {5: b"a", 6: b"ba"}
+    pair.whole, pair.spans_a, pair.spans_b = False, [0, 2, 1], [0] * 5 + [1, 2]
     pair.enter(b"ab" * long + b"a", [1] * long + [2], [5] + [6] * long)
     n = long + 1
     assert pair.numbers[3] == sum(pair.times) == n * n

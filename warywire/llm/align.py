@@ -38,7 +38,7 @@ BLANK = re.compile(f"[{BLANKS}]")
 LETTER = re.compile(r"[^\W\d_]")
 MARKS = ",.;:"
 BLOCK_CHARS = 1_000_000
-CHUNKS = 300_000
+CHUNKS = 450_000
 SLICE = 2_000_000
 FLUSH = 4_000_000
 
@@ -50,7 +50,7 @@ def align(lengths_a: list[int], lengths_b: list[int]) -> list[tuple[int, int]]:
     """
     a = dict(zip(accumulate(lengths_a), range(1, len(lengths_a) + 1)))
     b = dict(zip(accumulate(lengths_b), range(1, len(lengths_b) + 1)))
-    return [(a[end], b[end]) for end in sorted(a.keys() & b.keys())]
+    return [(i, b[end]) for end, i in a.items() if end in b]  # ends rise, so the common ones come in order
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -80,13 +80,16 @@ class Pair:
             elif kind in (pieces.NORMAL, pieces.USER, pieces.UNUSED):
                 self.bytes_b[i] = text.replace(pieces.MARK, " ").encode()
         self.width = len(rules.pieces)
+        self.whole = set(alphabet) <= set(self.a.get_vocab(with_added_tokens=False))  # then A's tokens give back any bytes
+        self.spans_a = [len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)]
+        self.spans_b = [len(self.bytes_b.get(i, b"")) for i in range(self.width)]
         self.apart = (rules.dummy_prefix and rules.escape_blanks and not rules.strip_blanks and not rules.charsmap
                       and rules.kind == pieces.BPE and self.b.pre_tokenizer is not None)
         joined = set(chain.from_iterable(t for t, _, kind in rules.pieces if len(t) > 1 and kind in (pieces.NORMAL, pieces.USER, pieces.UNUSED)))
         self.lone = {c for c in map(chr, (*range(9, 14), 0x85, 0xA0)) if c not in joined}  # blanks that no longer piece holds
         held = {b for t, _, _ in rules.pieces for a, b in zip(t, t[1:]) if LETTER.match(a)}
         self.marks = "".join(c for c in MARKS if c not in held)  # no piece goes on from a letter to one of these
-        word = rf" ?[^\W\d_]+(?=[{re.escape(self.marks)}])|" if self.marks else ""
+        word = rf" ?[^\W\d_]++(?=[{re.escape(self.marks)}])|" if self.marks else ""
         self.chunk = re.compile(f"{word} ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
         self.odd = re.compile(f"  |(?![ {re.escape(''.join(sorted(self.lone)))}])[{BLANKS}]")
         if self.apart:
@@ -129,9 +132,10 @@ class Pair:
             self.enter(text.encode(), a.ids, b.ids)
 
     def enter(self, text: bytes, ids_a: list[int], ids_b: list[int]) -> None:
+        n_a, n_b = len(ids_a), len(ids_b)
         try:
-            bytes_a, bytes_b = list(map(self.bytes_a.__getitem__, ids_a)), list(map(self.bytes_b.__getitem__, ids_b))
-            good = b"".join(bytes_a) == text == b"".join(bytes_b)
+            good = b"".join([self.bytes_b[i] for i in ids_b]) == text
+            good = good and (self.whole or b"".join([self.bytes_a[i] for i in ids_a]) == text)
         except KeyError:  # a token without bytes of its own
             good = False
         if not good:
@@ -139,9 +143,14 @@ class Pair:
             self.groups.append(b"")
             self.ends.append(len(self.codes))
             return
+        if n_a == 1 or n_b == 1:
+            ends = [(n_a, n_b)]
+        else:
+            spans_a, spans_b = self.spans_a, self.spans_b
+            ends = align([spans_a[i] for i in ids_a], [spans_b[i] for i in ids_b])
         said, links, width, codes, times = [], 0, self.width, [], None
         at_a = at_b = 0
-        for end_a, end_b in align(list(map(len, bytes_a)), list(map(len, bytes_b))):
+        for end_a, end_b in ends:
             if end_a == at_a + 1 and end_b == at_b + 1:
                 i, j = ids_a[at_a], ids_b[at_b]
                 said.append(f"{i}|{j}")
@@ -162,7 +171,7 @@ class Pair:
             at_a, at_b = end_a, end_b
         self.codes.extend(codes)
         self.times.extend(repeat(1, len(codes)) if times is None else times + [1] * (len(codes) - len(times)))
-        self.numbers.extend((len(ids_a), len(ids_b), len(said), links, 1))
+        self.numbers.extend((n_a, n_b, len(said), links, 1))
         self.groups.append(";".join(said).encode())
         self.ends.append(len(self.codes))
 
