@@ -103,3 +103,13 @@ def test_runs_with_blank_lines_and_runs_of_one_line(spark):
     assert out[1] == a and out[4] is None and out[2].startswith("own b\nend b\n" + short[0])
     left = out[3].split("\n")
     assert 1 <= len(left) < 100 and set(left) == set(same.split("\n"))
+
+
+def test_very_long_documents(spark):
+    draw = random.Random(9)
+    lines = [few_words(draw, 6) for _ in range(100_000)]
+    a, b = "\n".join(lines), "\n".join(["own line", *lines[:50_000], "between", *lines[50_000:]])
+    out = whole(spark, (1, a), (2, b))
+    assert out[1] == a and out[2] == "own line\nbetween"
+    out = texts(spark, (1, a), (2, b))
+    assert out[1] == a and len(out[2]) < len(b) // 3

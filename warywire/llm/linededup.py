@@ -13,6 +13,8 @@ repeated with it, so all its lines are found wherever chunks end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +81,23 @@ def cut_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     def enough(a: Column, first: Column) -> Column:
         return F.when((a >= passage * base) & (a % base >= 2), first.cast("long") * base + a % base)
 
-    every = F.sequence(F.lit(0), F.col("n") - 1)
+    every = F.when(F.col("n") >= 2, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
     onward = F.transform(F.transform(every, lambda i: run("words", i)), lambda a, i: enough(a, i))
     upto = F.transform(F.transform(every, lambda i: run("back", i)), lambda a, i: enough(a, F.col("n") - i - a % base))
     runs = F.filter(F.array_union(onward, upto), lambda r: r.isNotNull())
-    found = full.select("rid", "doc_id", "i", "words", "keys", F.explode(runs).alias("r")).select(
-        "*", F.floor(F.col("r") / base).cast("int").alias("at"), (F.col("r") % base).cast("int").alias("size"))
-    start = F.get("i", F.col("at"))
-    return found.select(
-        "rid", "doc_id", F.col("at").alias("k"), start.alias("start"),
-        (F.get("i", F.col("at") + F.col("size") - 1) - start + 1).alias("lines"),
-        F.aggregate(F.slice("words", F.col("at") + 1, F.col("size")), F.lit(0).cast("long"), lambda a, x: a + x).alias("words"),
-        F.md5(F.array_join(F.slice("keys", F.col("at") + 1, F.col("size")), ",")).alias("key"))
+
+    def told(r: Column) -> Column:
+        at, size = F.floor(r / base).cast("int"), (r % base).cast("int")
+        start = F.get("i", at)
+        return F.struct(
+            at.alias("k"), start.alias("start"), (F.get("i", at + size - 1) - start + 1).alias("lines"),
+            F.aggregate(F.slice("words", at + 1, size), F.lit(0).cast("long"), lambda a, x: a + x).alias("words"),
+            F.md5(F.array_join(F.slice("keys", at + 1, size), ",")).alias("key"))
+
+    # told per document, so that no row carries the document's arrays along with each of its runs
+    found = full.select("rid", "doc_id", runs.alias("runs"), "i", "words", "keys").select("rid", "doc_id", F.transform("runs", told).alias("runs"))
+    # outer: else Spark computes the runs once more in a filter for empty arrays
+    return found.select("rid", "doc_id", F.explode_outer("runs").alias("run")).filter("run is not null").select("rid", "doc_id", "run.*")
 
 
 def repeats(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE, whole: bool = False) -> DataFrame:
@@ -112,12 +119,15 @@ def repeats(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE, whole:
     spots = materialize(
         spots.groupBy("rid").agg(F.collect_list(F.struct("start", "lines", "words", "key", "first")).alias("spots")), "line-spots")
     # Bytes under one key are compared; a key that stands for different bytes removes nothing.
-    texts = docs.select("rid", "text").join(spots, "rid").select(
-        F.split("text", "\n", -1).alias("lines"), F.explode("spots").alias("s")).select(
-        F.col("s.key").alias("key"), F.slice("lines", F.col("s.start") + 1, F.col("s.lines")).alias("part"))
-    if whole:
-        texts = texts.withColumn("part", F.when(F.col("key").startswith(RUN), F.filter("part", lambda x: word_count(x) > 0)).otherwise(F.col("part")))
-    texts = texts.select("key", F.array_join("part", "\n").alias("bytes"))
+    def bytes_of(lines: Column) -> Column:
+        def part(s: Column) -> Column:
+            own = F.slice(lines, s["start"] + 1, s["lines"])
+            if whole:
+                own = F.when(s["key"].startswith(RUN), F.filter(own, lambda x: word_count(x) > 0)).otherwise(own)
+            return F.struct(s["key"].alias("key"), F.array_join(own, "\n").alias("bytes"))
+        return F.transform("spots", part)
+
+    texts = docs.select("rid", "text").join(spots, "rid").select(F.explode_outer(_bound(F.split("text", "\n", -1), bytes_of)).alias("s")).select("s.*")
     unequal = texts.groupBy("key").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).filter("low <> high").select("key")
     unequal = materialize(unequal, "line-unequal")
     removed = spots.select("rid", F.explode("spots").alias("s")).filter("not s.first").select("rid", "s.*")
@@ -126,17 +136,25 @@ def repeats(docs: DataFrame, every: int = EVERY, passage: int = PASSAGE, whole:
     return removed.groupBy("rid").agg(F.collect_list(F.struct("start", "lines", "words")).alias("cuts"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas inside ``use`` read it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _without(text: Column, cuts: Column) -> Column:
     """The text without the lines of the cuts; a line stays unless some cut covers it."""
-    lines = F.split(text, "\n", -1)
-    gone = F.flatten(F.transform(cuts, lambda c: F.sequence(c["start"], c["start"] + c["lines"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(F.size(cuts) > 0, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(text)
+    def rest(lines: Column) -> Column:
+        gone = F.flatten(F.transform(cuts, lambda c: F.sequence(c["start"], c["start"] + c["lines"] - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(F.size(cuts) > 0, _bound(F.split(text, "\n", -1), rest)).otherwise(text)
 
 
 def _cut(docs: DataFrame, every: int, passage: int, whole: bool = False) -> DataFrame:
     """(row, text, cuts): every row of ``docs`` as a struct, its text without repeats, and what was cut."""
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows = materialize(rows, "line-rows")  # numbered once: both sides of the join below read the same numbers
     known = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     joined = rows.join(repeats(known, every, passage, whole), "rid", "left")
     return joined.select("row", "cuts", _without(F.col("row.text"), F.col("cuts")).alias("text"))
