@@ -12,7 +12,7 @@ from warywire.session import materialize
 
 def test_registered():
     names = {n for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in entry.queries()
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["toxicity_stage", "line_stage", "near_duplicate_stage", "mix_stage", "piece_stage"]
 
 
