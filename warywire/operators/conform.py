@@ -119,6 +119,11 @@ def misclassified(preds: DataFrame, kind: str, label: str = "true_label", predic
     return preds.filter((F.col(label) == want) & (F.col(predicted) == got))
 
 
+def misclassified_rows(preds: DataFrame, label: str = "true_label", predicted: str = "predicted") -> DataFrame:
+    """False positives and false negatives in one pass, named in ``kind``."""
+    return preds.filter(F.col(label) != F.col(predicted)).withColumn("kind", F.when(F.col(predicted) == 1, "fp").otherwise("fn"))
+
+
 def with_identity(df: DataFrame, text_col: str = "message_text") -> DataFrame:
     """Adds a deterministic id and the metadata map. The id depends on the row's own key and
     text, so a replayed batch writes the same ids instead of new ones."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,16 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
+def value_counts_of(df: DataFrame, cols: Sequence[str], n: int | None = None) -> DataFrame:
+    """(col, val, n) for several columns, counted in one pass; with ``n`` the most frequent values of each."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in cols])
+    counts = df.select(F.inline(pairs)).groupBy("col", "val").agg(F.count("*").alias("n"))
+    if n is None:
+        return counts
+    order = Window.partitionBy("col").orderBy(F.desc("n"), F.col("val").asc_nulls_last())
+    return counts.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n).drop("_place")
+
+
 def label_distribution(df: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
     """Label counts for the whole set ('all') and per split, in one pass."""
     both = F.explode(F.array(F.lit("all"), F.col(split)))

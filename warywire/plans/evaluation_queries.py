@@ -41,9 +41,7 @@ def labelled(spark, sf_dir):
 @query("value_counts", f"""WITH {MESSAGES_SQL} SELECT 'risk_level' AS col, risk_level AS val, count(*) AS n FROM messages GROUP BY ALL
  UNION ALL SELECT 'platform', platform, count(*) FROM messages GROUP BY ALL""")
 def value_counts(spark, sf_dir):
-    msgs = messages(spark, sf_dir)
-    return R.value_counts(msgs, "risk_level").select(F.lit("risk_level").alias("col"), F.col("risk_level").alias("val"), "n").union(
-        R.value_counts(msgs, "platform").select(F.lit("platform"), "platform", "n"))
+    return R.value_counts_of(messages(spark, sf_dir), ("risk_level", "platform"))
 
 
 _CONTAINS = f"CAST(len(regexp_extract_all(coalesce(message_text, ''), '[{V.EMOJI}]')) > 0 AS VARCHAR)"
@@ -56,11 +54,7 @@ _CONTAINS = f"CAST(len(regexp_extract_all(coalesce(message_text, ''), '[{V.EMOJI
  SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def value_counts_topn(spark, sf_dir):
     msgs = FE.emoji_features(messages(spark, sf_dir)).withColumn("contains_emoji", (F.col("emoji_count") > 0).cast("string"))
-    out = None
-    for c in ("message_text", "message_type", "contains_emoji"):
-        part = R.value_counts(msgs, c, 5).select(F.lit(c).alias("col"), F.col(c).alias("val"), "n")
-        out = part if out is None else out.union(part)
-    return out
+    return R.value_counts_of(msgs, ("message_text", "message_type", "contains_emoji"), 5)
 
 
 _SPLIT_SQL = f"""{LABELLED_SQL}, ranked AS (SELECT *, md5('42:' || message_id) AS h,
@@ -99,10 +93,7 @@ def _rate_sql(col):
 
 @query("error_rate_by_group", f"WITH {PREDS_SQL} {_rate_sql('platform')} UNION ALL {_rate_sql('message_type')}")
 def error_rate_by_group(spark, sf_dir):
-    p = preds(spark, sf_dir)
-    out = ST.error_rate_by(p, "platform").withColumnRenamed("platform", "val").withColumn("col", F.lit("platform"))
-    return tidy(out.unionByName(
-        ST.error_rate_by(p, "message_type").withColumnRenamed("message_type", "val").withColumn("col", F.lit("message_type"))))
+    return tidy(ST.error_rate_of(preds(spark, sf_dir), ("platform", "message_type")))
 
 
 COUNTS_SQL = """counts AS (SELECT count(*) FILTER (true_label = 0 AND predicted = 0) AS tn, count(*) FILTER (true_label = 0 AND predicted = 1) AS fp,

@@ -122,6 +122,25 @@ def parse_batch_request(spark, sf_dir):
     return out.select("message_id", F.coalesce(F.size("messages"), F.lit(0)).alias("texts"), "error")
 
 
+@query("check_search_request", f"""WITH {MESSAGES_SQL} SELECT message_id, CASE WHEN message_id % 7 <> 3 AND message_id % 5 <> 1 THEN message_text END AS query,
+  {_ERROR_SQL.format(missing="message_id % 5 = 1 OR message_text IS NULL", field="query")} FROM messages""")
+def check_search_request(spark, sf_dir):
+    """Each message as the body of a search, some without the field and some broken."""
+    body = F.to_json(F.struct(F.when(F.col("message_id") % 5 != 1, F.col("message_text")).alias("query"), "platform"))
+    broken = F.when(F.col("message_id") % 7 == 3, F.concat(F.lit("{\"query\": "), body)).otherwise(body)
+    return S.check_requests(messages(spark, sf_dir).select("message_id", broken.alias("body")), "search").select("message_id", "query", "error")
+
+
+@query("check_graph_request", f"""WITH {MESSAGES_SQL} SELECT message_id, CASE WHEN message_id % 7 <> 3 AND message_id % 5 <> 1 THEN CAST(sender_id AS VARCHAR) END AS user_id,
+  {_ERROR_SQL.format(missing="message_id % 5 = 1", field="user_id")} FROM messages""")
+def check_graph_request(spark, sf_dir):
+    """Each message's sender as the body of a graph request, some without the field and some broken."""
+    edge = F.struct(F.col("sender_id").cast("string").alias("sender_id"), F.col("receiver_id").cast("string").alias("receiver_id"))
+    body = F.to_json(F.struct(F.when(F.col("message_id") % 5 != 1, F.col("sender_id").cast("string")).alias("user_id"), F.array(edge).alias("interactions")))
+    broken = F.when(F.col("message_id") % 7 == 3, F.concat(F.lit("{\"user_id\": "), body)).otherwise(body)
+    return S.check_requests(messages(spark, sf_dir).select("message_id", broken.alias("body")), "graph").select("message_id", "user_id", "error")
+
+
 _LITERALS = [t for t, _ in PHRASES[:14]]
 
 
@@ -357,9 +376,7 @@ for _suffix, _kw, _where in (
  CASE WHEN predicted = 1 THEN 'fp' ELSE 'fn' END AS kind FROM preds WHERE predicted <> true_label""")
 def select_misclassified(spark, sf_dir):
     preds = scored(spark, sf_dir).select("message_id", "probability", "true_label", "predicted")
-    both = C.misclassified(preds, "fp").withColumn("kind", F.lit("fp")).unionByName(
-        C.misclassified(preds, "fn").withColumn("kind", F.lit("fn")))
-    return tidy(both.select("message_id", "probability", "kind"))
+    return tidy(C.misclassified_rows(preds).select("message_id", "probability", "kind"))
 
 
 # --- joins and sets ---
