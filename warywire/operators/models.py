@@ -36,6 +36,7 @@ SETTINGS = {
     "gbt": {"maxIter": 200, "maxDepth": 5, "stepSize": 0.1},
     "svm": {"maxIter": 1000},
 }
+BOOST_ROWS = 4_000
 CLASSES = {"boosted": GBTClassifier, "forest": RandomForestClassifier, "logistic": LogisticRegression,
            "gbt": GBTClassifier, "svm": LinearSVC}
 WEIGHTS = {"boosted": "scale_pos", "forest": "balanced", "logistic": "balanced", "gbt": None, "svm": "balanced"}
@@ -88,6 +89,8 @@ def fit_classifier(matrix: DataFrame, kind: str, label: str = "label", seed: int
         # long trainings cut their lineage in the shared folder; a forest's levels also keep where each row is
         options = {"checkpointInterval": 10, "maxMemoryInMB": 512, "cacheNodeIds": kind == "forest", **options, "seed": seed}
         checkpoints(matrix.sparkSession)
+    if kind in ("boosted", "gbt"):  # one small job for each level of each tree: no more tasks than the rows are worth
+        matrix = matrix.coalesce(max(1, matrix.count() // BOOST_ROWS))
     if WEIGHTS[kind]:
         matrix = ST.with_class_weight(matrix, WEIGHTS[kind], label)
         options["weightCol"] = "weight"
