@@ -278,7 +278,7 @@ def anchored(stored: DataFrame, size: int, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of set numbers whose sets overlap enough."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    named = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
     one = sets.select("sid", "n", "signature", "hashes").join(bounded_broadcast(named, 500_000), "sid", "left_semi")
     rows = pairs.join(one.toDF("a", "n", "sig", "set"), "a").join(one.toDF("b", "m", "sig_b", "set_b"), "b")
 
