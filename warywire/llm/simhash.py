@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WORDS = 4
 PIPELINE_SHINGLE = 5
 PERCENT = 80
-MISS = 0.01
+MISS = 0.03
 DEVIATIONS = 4
 NEAREST = 4
 PART = 2048
@@ -362,9 +362,10 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
     radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
     entry = F.array(*[F.struct(F.lit(t).alias("t"), F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))).alias("key")) for t, (w, m) in enumerate(masks)])
     filed = fps.select(F.explode(entry).alias("e"), "id", "fp").select("e.t", "e.key", "id", "fp")
-    counts = filed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / part).cast("long")
-    dealt = filed.join(counts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), parts)).select("t", "key", "part", "id", "fp")
+    hot = filed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > part).select("t", "key", F.ceil(F.col("n") / part).cast("long").alias("parts"))
+    hot = bounded_broadcast(materialize(hot, "simhash-hot"), 500_000)  # a pattern for each ``part`` rows and mask at most
+    dealt = filed.join(hot, ["t", "key"], "left").select(
+        "t", "key", F.coalesce(F.pmod(F.xxhash64("id", "t"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "id", "fp")
 
     def run(batches):
         import pyarrow as pa
