@@ -171,3 +171,25 @@ def test_terms_beyond_the_usual_size(spark):
     assert len(model.stages[0].vocabulary) == 3007
     sizes = model.transform(rows).select(F.size(vector_to_array("tfidf")).alias("n")).distinct().collect()
     assert [r.n for r in sizes] == [3007]
+
+
+def test_a_linear_model_scores_the_rows_once_for_all_columns(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+
+    draw = random.Random(3)
+    rows = [(i, (y := draw.randint(0, 1)), Vectors.sparse(3, {0: y * draw.random(), 1: float(draw.random() < 0.2)})) for i in range(150)]
+    df = spark.createDataFrame(rows, ["message_id", "label", "scaled"])
+
+    def figures(m):
+        return {r.feature: (r.importance_mean, r.importance_std) for r in TN.permutation_by_column(m, df, ["a", "b", "c"], repeats=3, seed=4).collect()}
+
+    for model in (LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=10).fit(df), LinearSVC(featuresCol="scaled", labelCol="label", maxIter=10).fit(df)):
+        calls, plain = [], type(model).transform
+        monkeypatch.setattr(type(model), "transform", lambda self, *a: calls.append(1) or plain(self, *a))
+        got = figures(model)
+        assert len(calls) == 1
+        monkeypatch.setattr(TN, "_level", lambda scorer: None)  # the way of other models
+        for feature, pair in figures(model).items():
+            assert pair == pytest.approx(got[feature])
+        assert got["a"][0] > 0.1
+        monkeypatch.undo()
