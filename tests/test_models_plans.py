@@ -146,3 +146,18 @@ def test_rank_shuffles_rows_once(spark):
 
 def test_sample_plan_is_top_n(spark):
     assert "TakeOrderedAndProject" in plan(O.sample_n(spark.range(100).withColumnRenamed("id", "message_id"), 5))
+
+
+def test_permuting_inputs_of_a_linear_model_scores_no_text_again(spark, sf, monkeypatch):
+    from warywire.plans import model_queries as Q
+
+    model, rows = Q.trained(spark, sf, "logistic"), Q.labelled(spark, sf)
+    groups = {"platform": [n for n in M.feature_names(model) if n.startswith("platform_")]}
+    groups["rest"] = [n for n in M.feature_names(model) if n not in groups["platform"]]
+    parts = {r.message_id: r for r in M.margin_parts(model, rows, groups).collect()}
+    for r in M.score(model, rows).select("message_id", "prediction").collect():
+        p = parts[r.message_id]
+        assert 1 / (1 + math.exp(-(p.margin_platform + p.margin_rest + model.stages[-1].intercept))) == pytest.approx(r.prediction)
+    monkeypatch.setattr(M, "score", None)
+    found = {r.feature: r.importance_mean for r in Q.permutation_importance_model(spark, sf).collect()}
+    assert set(found) == {"platform", "message_type", "message_text"} and found["message_text"] > 0.2

@@ -97,29 +97,26 @@ def rule_importance(features: DataFrame, label: str = "true_label", threshold: f
         F.avg("importance").alias("importance_mean"), F.stddev_pop("importance").alias("importance_std"))
 
 
-def permuted(df: DataFrame, group: Sequence[str], rep: int, ident: str = "message_id") -> DataFrame:
-    """``df`` with the columns of ``group`` permuted together across rows."""
-    left = hash_rank(df.drop(*group), [], ident, "rows", rank="_rank", total="_n")
-    donors = hash_rank(df.select(ident, *group), [], ident, f"rep{rep}", rank="_rank", total="_n")
-    return left.join(donors.select("_rank", *group), "_rank").select(*df.columns)
-
-
 def permutation_importance(df: DataFrame, scorer: Scorer, groups: dict[str, Sequence[str]], repeats: int = 5,
                            max_rows: int | None = None, label: str = "label", ident: str = "message_id") -> DataFrame:
-    """Mean and deviation of the accuracy drop when each group of input columns is permuted.
+    """Mean and deviation of the accuracy drop when each group of input columns is permuted together across rows.
 
-    ``scorer`` maps rows to rows with ``prediction``. All variants of a group are scored
-    together as one table tagged by repeat.
+    ``scorer`` maps rows to rows with ``prediction``. The rows are ranked once; in a repeat each meets one donor, and all groups'
+    variants are made of that one pair and scored together.
     """
     rows = materialize(df if max_rows is None else sample_n(df, max_rows, ident), "permutation")
-    variants = rows.select("*", F.lit("").alias("feature"), F.lit(0).alias("rep"))
-    for name, group in groups.items():
-        for rep in range(1, repeats + 1):
-            variants = variants.unionByName(
-                permuted(rows, group, rep, ident).select("*", F.lit(name).alias("feature"), F.lit(rep).alias("rep")))
-    hits = scorer(variants).groupBy("feature", "rep").agg(
-        F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("acc"))
-    base = hits.filter(F.col("rep") == 0).select(F.col("acc").alias("base"), F.lit(1).alias("_k"))
-    drops = hits.filter(F.col("rep") > 0).withColumn("_k", F.lit(1)).join(base, "_k")
-    drop = F.col("base") - F.col("acc")
-    return drops.groupBy("feature").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
+    spark, moved = df.sparkSession, [c for group in groups.values() for c in group]
+    left = materialize(hash_rank(rows, [], ident, "rows", rank="_rank", total="_n").drop("_n"), "permutation-rows")
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    base = scorer(rows).agg(right).first()[0]
+    drops = []
+    for rep in range(1, repeats + 1):
+        donors = hash_rank(rows.select(ident, *dict.fromkeys(moved)), [], ident, f"rep{rep}", rank="_rank", total="_n").select(
+            "_rank", *[F.col(c).alias(f"_d_{c}") for c in dict.fromkeys(moved)])
+        paired = left.join(donors.hint("merge"), "_rank")  # written rows are small for their number: never broadcast
+        variants = F.array(*[F.struct(F.lit(name).alias("feature"), *[F.col(f"_d_{c}" if c in group else c).alias(c) for c in rows.columns])
+                             for name, group in groups.items()])
+        hits = scorer(paired.select(F.inline(variants))).groupBy("feature").agg(right.alias("acc")).collect()  # one row for each group
+        drops += [(r["feature"], rep, base - r["acc"]) for r in hits]
+    return spark.createDataFrame(drops, "feature string, rep int, drop double").groupBy("feature").agg(
+        F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
