@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 from helpers import DOCS, documents, odd
+from pyspark.sql import functions as F
 
 from warywire.llm import simhash
 from warywire.llm.common import table
@@ -218,3 +219,37 @@ def test_a_large_group_of_near_copies_in_parts(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     monkeypatch.setattr(simhash.candidates, "__defaults__", (50, simhash.NEAREST))
     assert [r.doc_id for r in simhash.one_of_each(documents(spark, *rows)).collect()] == [0]
+
+
+def test_a_partner_beyond_the_nearest_is_found(spark, monkeypatch):
+    draw = random.Random(12)
+    codes = [[simhash.signed(draw.getrandbits(64)) for _ in range(4)]]
+    for i in range(1, 30):  # all within a few bits of the first
+        codes.append([c ^ (1 << (i + w)) for w, c in enumerate(codes[0])])
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "id long, fp array<long>")
+    for part in (2048, 8):
+        pairs, cuts = simhash.candidates(rows, 0.8, part, 1)
+        first = {(r.a, r.b) for r in pairs.collect()}
+        assert cuts.count() > 0 and len(first) < 30 * 29 // 2
+        # roots: even and odd rows, and one that stands alone
+        rooted = rows.withColumn("root", F.when(F.col("id") == 29, F.col("id")).otherwise(F.col("id") % 2))
+        root = {i: i if i == 29 else i % 2 for i in range(30)}
+        more = {(r.a, r.b) for r in simhash.further(rooted, cuts, 0.8, part).collect()}
+        assert more == {(i, j) for i in range(30) for j in range(i) if root[i] != root[j]}
+
+
+def test_a_chain_through_a_fifth_partner(spark, monkeypatch):
+    """Two groups that only one pair links, which is not among the nearest of either side."""
+    draw = random.Random(21)
+    base = words_of(draw, 300)
+    rows = []
+    for g in range(2):
+        text = list(base)
+        for at in range(30 * g, 30 * g + 5 * g):
+            text[at] = f"g{at}"
+        for i in range(8):
+            copy = list(text)
+            copy[200 + 7 * i] = f"z{g}{i}"
+            rows.append((100 * g + i, " ".join(copy)))
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (simhash.PART, 1))
+    assert [r.doc_id for r in simhash.one_of_each(documents(spark, *rows)).collect()] == [0]

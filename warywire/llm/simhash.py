@@ -352,16 +352,21 @@ def masks_for(rows: int, similarity: float, seed: int = 5) -> list[tuple[int, in
     return [(t % WORDS, sum(1 << int(b) for b in draw.choice(BITS, bits, replace=False))) for t in range(tables_for(bits, similarity))]
 
 
-def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int = NEAREST) -> DataFrame:
-    """Pairs (a, b) of ids of (id, fp) that may be that similar: under each masked pattern a member's nearest ones.
+def _patterns(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(t, key, ...): every row under each of the masks."""
+    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))).alias("key")) for t, (w, m) in enumerate(masks)])
+    return fps.select(F.explode(entry).alias("e"), *fps.columns).select("e.t", "e.key", *fps.columns)
+
+
+def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ids of (id, fp) that may be that similar, and the patterns (t, key) under which there may be more.
 
-    A pattern with more than ``part`` members is dealt into parts, by another hash under every mask, so copies of one text
-    that share many patterns meet in others. Each member emits ``nearest`` pairs for a pattern at most.
+    Under each masked pattern a member meets its ``nearest`` ones; a pattern with more than ``part`` members is dealt into parts, by
+    another hash under every mask. Patterns that were dealt, or where a member has more partners, are returned for ``further``.
     """
     masks = masks_for(fps.count(), similarity)
     radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
-    entry = F.array(*[F.struct(F.lit(t).alias("t"), F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))).alias("key")) for t, (w, m) in enumerate(masks)])
-    filed = fps.select(F.explode(entry).alias("e"), "id", "fp").select("e.t", "e.key", "id", "fp")
+    filed = _patterns(fps.select("id", "fp"), masks)
     hot = filed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > part).select("t", "key", F.ceil(F.col("n") / part).cast("long").alias("parts"))
     hot = bounded_broadcast(materialize(hot, "simhash-hot"), 500_000)  # a pattern for each ``part`` rows and mask at most
     dealt = filed.join(hot, ["t", "key"], "left").select(
@@ -390,11 +395,12 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
     def pairs_of(table):
         import pyarrow as pa
 
-        ids, t = table.column("id").to_numpy(), table.column("t").to_numpy()
+        ids, t, key = (table.column(c).to_numpy() for c in ("id", "t", "key"))
         fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         edges = np.flatnonzero(np.r_[edges_of(table), True])
         sizes = np.diff(edges)
         found = [np.zeros((2, 0), np.int64)]
+        cut = [np.zeros(0, np.int64)]  # places of members whose partners were cut
 
         def near(i, j):
             kept = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= verify
@@ -406,7 +412,10 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
             own = len(found)
             for q, node in near_pairs(fp[rows, masks[t[start]][0]].copy(), radius):
                 near(rows[q], rows[node])
-            found[own:] = [closest(np.concatenate(found[own:], axis=1), fp, nearest)] if len(found) > own else []
+            if len(found) > own:
+                every = np.concatenate(found[own:], axis=1)
+                found[own:] = [closest(every, fp, nearest)]
+                cut.append(crowded(every, found[own]))
         small = np.flatnonzero(sizes <= 64)
         for size in np.unique(sizes[small]):  # short runs of one size are compared together
             a, b = np.triu_indices(size, 1)
@@ -416,13 +425,100 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
             step = max(1, PAIRS // len(a))
             for at in range(0, len(starts), step):
                 near((starts[at:at + step, None] + a).ravel(), (starts[at:at + step, None] + b).ravel())
-        best = closest(np.concatenate(found, axis=1), fp, nearest)
-        x, y = ids[best[0]], ids[best[1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+        every = np.concatenate(found, axis=1)
+        best = closest(every, fp, nearest)
+        cut.append(crowded(every, best))
+        # a row is a pair, or (t, key, null) of a pattern that was cut
+        x, y, more = ids[best[0]], ids[best[1]], np.unique(np.searchsorted(edges, np.concatenate(cut), "right") - 1)
+        none = pa.nulls(len(x), pa.int32())
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([none, pa.array(t[edges[more]], pa.int32())]), pa.array(np.r_[np.maximum(x, y), key[edges[more]]]),
+            pa.concat_arrays([pa.array(np.minimum(x, y)), pa.nulls(len(more), pa.int64())])], names=["t", "a", "b"])
 
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = dealt.repartition(width, "t", "key", "part").sortWithinPartitions("t", "key", "part")
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    met = materialize(sorted_rows.mapInArrow(run, "t int, a long, b long").distinct(), "simhash-met")
+    cuts = met.filter("t is not null").select("t", F.col("a").alias("key")).unionAll(hot.select("t", "key")).distinct()
+    return met.filter("t is null").select("a", "b"), materialize(cuts, "simhash-cuts")
+
+
+def crowded(every: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The places whose pairs were cut."""
+    if every.shape[1] == kept.shape[1]:
+        return np.zeros(0, np.int64)
+    low = np.sort(every, axis=0)
+    return np.setdiff1d(low[0] << 32 | low[1], kept[0] << 32 | kept[1]) >> 32
+
+
+def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """All pairs (a, b) of (id, fp, root) that may be that similar and meet under one of the patterns ``cuts``, of different roots.
+
+    Under a pattern the members of its most frequent root need not meet each other. These and the others are dealt into parts of about
+    ``part``; a part of the others meets all parts, so memory is bounded and a large group of copies is met only by what is outside it.
+    """
+    masks = masks_for(fps.count(), similarity)
+    radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
+    few = bounded_broadcast(cuts, 500_000)
+    filed = _patterns(fps, masks).join(few, ["t", "key"], "left_semi")
+    counts = filed.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+    tops = materialize(tops.select("t", "key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / part).cast("int").alias("tops"),
+                                   F.ceil((F.col("n") - F.col("top.n")) / part).cast("int").alias("others")), "simhash-open")
+    joined = filed.join(tops, ["t", "key"])
+    # groups (i, j): part i of the others with part j of the others (j >= i) or, numbered from ``others`` on, of the top root
+    hashed = F.xxhash64("id", "t", F.lit(3))
+    other = F.col("root") != F.col("top")
+    own = F.when(other, F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.col("tops"))).cast("int")
+    joined = joined.withColumn("own", own)
+    groups = F.when(F.col("root") != F.col("top"), F.transform(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1), lambda j: F.struct(
+        F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).otherwise(F.transform(
+            F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    dealt = joined.select("t", "key", "own", "id", "fp", "root", F.inline(groups)).withColumn("g", F.xxhash64("t", "key", "i", "j"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            cut = int(edges_of(table)[-2])
+            if cut:
+                yield from pairs_of(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    def edges_of(table):
+        g, t, key, i, j = (table.column(c).to_numpy() for c in ("g", "t", "key", "i", "j"))
+        apart = np.zeros(max(0, len(g) - 1), bool)
+        for c in (g, t, key, i, j):
+            apart |= c[1:] != c[:-1]
+        return np.flatnonzero(np.r_[True, apart, True])
+
+    def pairs_of(table):
+        import pyarrow as pa
+
+        ids, t, i, own, root = (table.column(c).to_numpy() for c in ("id", "t", "i", "own", "root"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        edges = edges_of(table)
+        for start, end in zip(edges[:-1], edges[1:]):
+            left = start + np.flatnonzero(own[start:end] == i[start])
+            right = left if (own[start:end] == i[start]).all() else start + np.flatnonzero(own[start:end] != i[start])
+            word = fp[:, masks[t[start]][0]]
+            for at in range(0, len(left), max(1, PAIRS // max(1, len(right)))):
+                rows = left[at:at + max(1, PAIRS // max(1, len(right)))]
+                x, y = np.nonzero((np.bitwise_count(word[rows][:, None] ^ word[right]) <= radius) & (root[rows][:, None] != root[right]))
+                x, y = rows[x], right[y]
+                kept = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= verify
+                x, y = ids[x[kept]], ids[y[kept]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(width, "g").sortWithinPartitions("g", "t", "key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def closest(pairs: np.ndarray, fp: np.ndarray, nearest: int) -> np.ndarray:
@@ -458,18 +554,28 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = PIPELINE
     """The documents with one of each near-duplicate group kept, columns and values unchanged.
 
     Candidates are found by fingerprints of 4 x 64 bits over five-word shingles (``candidates``), then confirmed: a link needs a Jaccard
-    similarity of ``percent`` in a hundred of the exact shingle sets. Equal fingerprints are one. Of each group the row with the smallest
+    similarity of ``percent`` in a hundred of the exact shingle sets. Where members of a pattern have more partners than are met at first,
+    all pairs of those that are not tied yet follow (``further``). Equal fingerprints are one. Of each group the row with the smallest
     doc_id stays (nulls last; of repeated rows the first). Null, empty and blank texts are one group. Empty table: no rows.
     """
     rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "simhash-rows")
     texts = rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
     marked = materialize(fingerprints(texts, ["id", "doc_id"], "text", shingle, WORDS), "simhash-fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
-    pairs = materialize(candidates(distinct, percent / 100), "simhash-pairs")
-    named = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = shingle_sets(texts.join(bounded_broadcast(materialize(named, "simhash-named"), 500_000), "id", "left_semi"), shingle)
-    links = verified(pairs, materialize(sets.filter("n > 0"), "simhash-sets"), percent)
-    found = components(materialize(links, "simhash-links"))
+    pairs, cuts = candidates(distinct, percent / 100)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        named = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+        sets = shingle_sets(texts.join(bounded_broadcast(materialize(named, "simhash-named"), 500_000), "id", "left_semi"), shingle)
+        return materialize(verified(pairs, materialize(sets.filter("n > 0"), "simhash-sets"), percent), "simhash-links")
+
+    links = confirmed(pairs)
+    found = components(links)
+    if cuts.limit(1).count():  # partners that the nearest ones didn't tie already
+        rooted = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"))
+        more = materialize(further(materialize(rooted, "simhash-rooted"), cuts, percent / 100), "simhash-further")
+        if more.limit(1).count():
+            found = components(links.unionAll(confirmed(more)))
     classes_ = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("class"))
     first = marked.join(classes_, F.col("fp") == F.col("_fp")).groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
