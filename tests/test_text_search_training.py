@@ -193,3 +193,18 @@ def test_a_linear_model_scores_the_rows_once_for_all_columns(spark, monkeypatch)
             assert pair == pytest.approx(got[feature])
         assert got["a"][0] > 0.1
         monkeypatch.undo()
+
+
+def test_the_index_numbers_texts_and_keeps_no_wide_tables(spark):
+    rows = [(1, "red green", "a", "low"), (2, "RED green ", "b", "low"), (3, "red green", "b", "high"), (4, "blue blue blue", None, "low"), (5, None, "a", "low")]
+    index = TS.build_index(corpus(spark, rows), 1)
+    assert dict(index.members.dtypes)["text"] == "bigint" and index.texts == 2  # numbers, no hashes of 32 letters, in every shuffle
+    by = {}
+    for r in index.members.collect():
+        by.setdefault(r.text, set()).add((r.id, r.platform, r.risk_level))
+    assert sorted(map(sorted, by.values())) == [[(1, "a", "low"), (2, "b", "low"), (3, "b", "high")], [(4, None, "low")]]
+    norms = {}
+    for r in index.postings.collect():
+        for e in r.entries:
+            norms[e.text] = norms.get(e.text, 0.0) + e.weight ** 2
+    assert set(norms) == set(by) and all(v == pytest.approx(1.0) for v in norms.values())
