@@ -93,6 +93,26 @@ def test_nearest_examples_are_exact():
         assert cosines == pytest.approx([want[place[int(index.ids[p])]] for p in places])
 
 
+def test_blocks_change_no_neighbour_and_a_bounded_index_is_one():
+    draw = np.random.default_rng(6)
+    held = []
+    for _ in range(toxicity.INDEXED):
+        at = np.unique(np.minimum(draw.geometric(0.02, 30), 399))
+        weight = draw.random(len(at)) + 0.1
+        held.append((at, weight / np.linalg.norm(weight)))
+    ids, marks = draw.permutation(len(held)), draw.integers(0, 2, len(held))
+    whole, small = toxicity.Index(ids, marks, held, 400), toxicity.Index(ids, marks, held, 400, block=64)
+    assert whole.n_blocks == 1 and small.n_blocks == 47
+    for q in range(40):
+        for found, want in zip(whole.nearest(*held[q], skip=int(ids[q])), small.nearest(*held[q], skip=int(ids[q]))):
+            assert np.array_equal(found, want)
+
+
+def test_words_not_asked_for_count_nowhere(spark):
+    docs = documents(spark, (1, "one two two"), (2, "two three"), (3, None), (4, "Five"))
+    assert toxicity.document_counts(docs, ["two", "four", "five"]).tolist() == [2, 0, 1]
+
+
 def test_pools_rise():
     points = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert [p for _, p in points] == sorted(p for _, p in points) and points[0][1] < 0.1
