@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -209,6 +210,25 @@ def test_masks_follow_the_table_and_the_chance_of_a_miss():
     assert {w for w, _ in simhash.masks_for(1000, 0.8)} == {0, 1, 2, 3}
 
 
+def test_nearest_pairs_of_a_large_group_in_bounded_memory():
+    draw = np.random.default_rng(3)
+    fp = draw.integers(0, 1 << 60, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << draw.integers(0, 60, (simhash.PART, 4), dtype=np.uint64))
+    some = np.stack(np.triu_indices(60, 1))
+    some[:, ::2] = some[::-1, ::2]  # either place first
+    want = set()
+    for i in range(60):
+        far = sorted((int(np.bitwise_count(fp[i] ^ fp[j]).sum()), j) for j in range(60) if j != i)
+        want |= {(min(i, j), max(i, j)) for _, j in far[:4]}
+    assert list(map(tuple, simhash.closest(some, fp, 4).T.tolist())) == sorted(want)
+    assert simhash.closest(some[:, :0], fp, 4).shape == (2, 0)
+    every = np.stack(np.triu_indices(simhash.PART, 1))
+    tracemalloc.start()
+    simhash.closest(every, fp, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20  # all words of all pairs at once took 600 MB
+
+
 def test_a_large_group_of_near_copies_in_parts(spark, monkeypatch):
     draw = random.Random(6)
     text = words_of(draw, 200)

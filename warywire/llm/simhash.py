@@ -34,7 +34,7 @@ RADIUS = 2
 SHINGLE = 3
 GROUP = 1024
 LEAF = 32
-PAIRS = 2_000_000
+PAIRS = 250_000  # compared at a time; with four words each, some 30 MB
 FINER = T.StructType([T.StructField("above", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("mask", T.LongType())])
 
 
@@ -522,15 +522,20 @@ def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART
 
 
 def closest(pairs: np.ndarray, fp: np.ndarray, nearest: int) -> np.ndarray:
-    """Of pairs of places, those where one is among the other's ``nearest`` by differing bits."""
-    both = np.concatenate([pairs, pairs[::-1]], axis=1)
-    far = np.bitwise_count(fp[both[0]] ^ fp[both[1]]).sum(axis=1, dtype=np.int64)
-    order = np.lexsort((both[1], far, both[0]))
-    own = both[0][order]
-    first = np.flatnonzero(np.r_[len(own) > 0, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
-    kept = both[:, order[rank < nearest]]
-    return np.unique(np.sort(kept, axis=0), axis=1)
+    """Of pairs of places, those where one is among the other's ``nearest`` by differing bits (ties to the smaller place), once each."""
+    keys = [np.zeros(0, np.int64)]  # place, differing bits (256 at most) and the other's place in one number
+    for at in range(0, pairs.shape[1], PAIRS):
+        x, y = pairs[:, at:at + PAIRS]
+        far = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) << 27
+        keys += [x << 36 | far | y, y << 36 | far | x]
+    key = np.concatenate(keys)
+    del keys
+    key.sort()
+    own = key >> 36
+    key = key[np.r_[np.ones(min(nearest, len(key)), bool), own[nearest:] != own[:-nearest]]]
+    x, y = key >> 36, key & (1 << 27) - 1
+    low = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
+    return np.stack([low >> 32, low & (1 << 32) - 1])
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
