@@ -226,7 +226,7 @@ def test_nearest_pairs_of_a_large_group_in_bounded_memory():
     simhash.closest(every, fp, 4)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 250 << 20  # all words of all pairs at once took 600 MB
+    assert peak < 250 << 20  # all words of all pairs at once took 320 MB
 
 
 def test_a_large_group_of_near_copies_in_parts(spark, monkeypatch):
