@@ -273,3 +273,63 @@ def test_a_chain_through_a_fifth_partner(spark, monkeypatch):
             rows.append((100 * g + i, " ".join(copy)))
     monkeypatch.setattr(simhash.candidates, "__defaults__", (simhash.PART, 1))
     assert [r.doc_id for r in simhash.one_of_each(documents(spark, *rows)).collect()] == [0]
+
+
+def tied(pairs, nodes):
+    up = {i: i for i in nodes}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in nodes}
+
+
+def test_a_tree_ties_what_all_pairs_tie_at_any_distance():
+    draw = np.random.default_rng(9)
+    fp = draw.integers(0, 1 << 60, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << draw.integers(0, 6, (60, 4), dtype=np.uint64))
+    every = np.stack(np.triu_indices(60, 1))
+    every = every[:, draw.random(every.shape[1]) < 0.2]
+    kept = simhash.tree(every, fp)
+    assert kept.shape[1] < 60 < every.shape[1] and simhash.tree(every[:, :0], fp).shape == (2, 0)
+    for most in range(0, 9):
+        near = [p[:, np.bitwise_count(fp[p[0]] ^ fp[p[1]]).sum(axis=1) <= most].T.tolist() for p in (every, kept)]
+        assert tied(near[0], range(60)) == tied(near[1], range(60))
+
+
+def test_pairs_of_a_large_group_are_confirmed_where_they_meet(spark, monkeypatch):
+    """Members of one pattern in chains of similar sets: no more links than members, whatever the number of pairs."""
+    draw = random.Random(12)
+    codes = [[simhash.signed(draw.getrandbits(64)) for _ in range(4)]]
+    for i in range(1, 30):  # all within a few bits of the first
+        codes.append([c ^ (1 << (i + w)) for w, c in enumerate(codes[0])])
+    own = {i: np.unique(np.array([draw.getrandbits(64) for _ in range(100)], np.uint64)) for i in (0, 15)}
+    for i in set(range(30)) - {0, 15, 29}:  # each shares 99 of 100 with the one before
+        own[i] = np.unique(np.r_[own[i - 1][1:], np.array([draw.getrandbits(64) for _ in range(1)], np.uint64)])
+    rows = spark.createDataFrame([(i, c, i, 1000) for i, c in enumerate(codes)], "id long, fp array<long>, root long, size int")
+    held = [(i, len(s), bytearray(simhash.signature(s)), bytearray(s.tobytes())) for i, s in own.items()]  # 29 has no set
+    sets = spark.createDataFrame(held, "sid long, n int, signature binary, hashes binary")
+    alike = {(i, j) for i in own for j in own if j < i and 100 * len(np.intersect1d(own[i], own[j])) >= 80 * len(np.union1d(own[i], own[j]))}
+    _, cuts = simhash.candidates(rows.select("id", "fp"), 0.8, 2048, 1)
+    for part, size in ((2048, 1 << 24), (8, 1 << 24), (2048, 3000)):
+        monkeypatch.setattr(simhash, "HELD", size)
+        found = simhash.further(rows, cuts, 0.8, part, lambda named: sets.join(named.withColumnRenamed("id", "sid"), "sid"), 80).collect()
+        pairs = {(r.a, r.b) for r in found}
+        assert len(pairs) == len(found) and pairs <= alike
+        assert tied(pairs, range(30)) == tied(alike, range(30)) and len(set(tied(pairs, range(30)).values())) == 3
+        assert part < 2048 or size < 1 << 24 or len(pairs) < len(alike) / 2
+
+
+def test_a_crowded_pattern_gives_as_many_pairs_as_members(spark):
+    draw = random.Random(12)
+    codes = [[simhash.signed(draw.getrandbits(64)) for _ in range(4)]]
+    for i in range(1, 40):
+        codes.append([c ^ (1 << (i + w)) for w, c in enumerate(codes[0])])
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "id long, fp array<long>")
+    pairs, cuts = simhash.candidates(rows, 0.8)
+    assert cuts.count() > 0 and len(set(tied({(r.a, r.b) for r in pairs.collect()}, range(40)).values())) == 1
+    assert pairs.count() < 40 * 4  # of 780; the four nearest of each made more

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ..session import bounded_broadcast, materialize
 from .common import bounded_rows
 from .components import components
-from .jaccard import Hasher, signature, verified
+from .jaccard import Hasher, enough, possible, signature, verified
 
 SEED = 42
 BITS = 64
@@ -320,6 +320,7 @@ MISS = 0.03
 DEVIATIONS = 4
 NEAREST = 4
 PART = 2048
+HELD = 1 << 24  # bytes of text of a part whose sets are compared; a set's hashes take about as many
 
 
 def apart(similarity: float) -> float:
@@ -361,8 +362,10 @@ def _patterns(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
 def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of ids of (id, fp) that may be that similar, and the patterns (t, key) under which there may be more.
 
-    Under each masked pattern a member meets its ``nearest`` ones; a pattern with more than ``part`` members is dealt into parts, by
-    another hash under every mask. Patterns that were dealt, or where a member has more partners, are returned for ``further``.
+    Under each masked pattern the members meet. Where one has more than ``nearest`` partners, only a tree of the nearest pairs is returned,
+    which is as long as the pattern has members and ties what all its pairs tie at any number of differing bits. A pattern with more
+    than ``part`` members is dealt into parts, by another hash under every mask. Patterns that were dealt, or of which a tree was taken, are
+    returned for ``further``.
     """
     masks = masks_for(fps.count(), similarity)
     radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
@@ -414,8 +417,10 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
                 near(rows[q], rows[node])
             if len(found) > own:
                 every = np.concatenate(found[own:], axis=1)
-                found[own:] = [closest(every, fp, nearest)]
-                cut.append(crowded(every, found[own]))
+                over = crowded(every, nearest)
+                found[own:] = [tree(every, fp) if len(over) else every]
+                cut.append(over)
+        large, found = found, [np.zeros((2, 0), np.int64)]
         small = np.flatnonzero(sizes <= 64)
         for size in np.unique(sizes[small]):  # short runs of one size are compared together
             a, b = np.triu_indices(size, 1)
@@ -426,10 +431,12 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
             for at in range(0, len(starts), step):
                 near((starts[at:at + step, None] + a).ravel(), (starts[at:at + step, None] + b).ravel())
         every = np.concatenate(found, axis=1)
-        best = closest(every, fp, nearest)
-        cut.append(crowded(every, best))
+        cut.append(crowded(every, nearest))
         # a row is a pair, or (t, key, null) of a pattern that was cut
-        x, y, more = ids[best[0]], ids[best[1]], np.unique(np.searchsorted(edges, np.concatenate(cut), "right") - 1)
+        more = np.unique(np.searchsorted(edges, np.concatenate(cut), "right") - 1)
+        over = np.isin(np.searchsorted(edges, every[0], "right") - 1, more)
+        best = np.concatenate([*large, every[:, ~over], tree(every[:, over], fp)], axis=1)
+        x, y = ids[best[0]], ids[best[1]]
         none = pa.nulls(len(x), pa.int32())
         return pa.RecordBatch.from_arrays([
             pa.concat_arrays([none, pa.array(t[edges[more]], pa.int32())]), pa.array(np.r_[np.maximum(x, y), key[edges[more]]]),
@@ -442,29 +449,62 @@ def candidates(fps: DataFrame, similarity: float, part: int = PART, nearest: int
     return met.filter("t is null").select("a", "b"), materialize(cuts, "simhash-cuts")
 
 
-def crowded(every: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """The places whose pairs were cut."""
-    if every.shape[1] == kept.shape[1]:
-        return np.zeros(0, np.int64)
-    low = np.sort(every, axis=0)
-    return np.setdiff1d(low[0] << 32 | low[1], kept[0] << 32 | kept[1]) >> 32
+def crowded(pairs: np.ndarray, nearest: int) -> np.ndarray:
+    """The places with more than ``nearest`` partners."""
+    return np.flatnonzero(np.bincount(pairs.ravel()) > nearest)
 
 
-def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+def tree(pairs: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """A forest of the pairs of places that ties all they tie, of the least differing bits (ties to the earlier pair)."""
+    if not pairs.shape[1]:
+        return pairs
+    key = np.concatenate([np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) << 40 for x, y in (
+        pairs[:, at:at + PAIRS] for at in range(0, pairs.shape[1], PAIRS))]) | np.arange(pairs.shape[1])
+    root, taken, left = np.arange(int(pairs.max()) + 1), [], key
+    while True:  # every component takes its least pair to another one
+        places = left & (1 << 40) - 1
+        x, y = root[pairs[0, places]], root[pairs[1, places]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return pairs[:, np.concatenate(taken)]
+        least = np.full(len(root), np.iinfo(np.int64).max)
+        np.minimum.at(least, x, left)
+        np.minimum.at(least, y, left)
+        took = np.unique(least[least < np.iinfo(np.int64).max]) & (1 << 40) - 1
+        taken.append(took)
+        join(root, pairs[0, took], pairs[1, took])
+        root = settle(root)
+
+
+def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART, sets: Callable[[DataFrame], DataFrame] | None = None,
+            percent: int = PERCENT) -> DataFrame:
     """All pairs (a, b) of (id, fp, root) that may be that similar and meet under one of the patterns ``cuts``, of different roots.
 
     Under a pattern the members of its most frequent root need not meet each other. These and the others are dealt into parts of about
     ``part``; a part of the others meets all parts, so memory is bounded and a large group of copies is met only by what is outside it.
+    With ``sets``, which gives the shingle sets of ids, and ``size`` in ``fps`` (bytes of text, about ``HELD`` in a part at most) the pairs are
+    confirmed by ``percent`` where they meet, and returned are links that tie all which the confirmed ones tie: no more than members.
     """
     masks = masks_for(fps.count(), similarity)
     radius, verify = bits_for(similarity, BITS), bits_for(similarity, BITS * WORDS)
     few = bounded_broadcast(cuts, 500_000)
-    filed = _patterns(fps, masks).join(few, ["t", "key"], "left_semi")
-    counts = filed.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
-    tops = counts.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    tops = materialize(tops.select("t", "key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / part).cast("int").alias("tops"),
-                                   F.ceil((F.col("n") - F.col("top.n")) / part).cast("int").alias("others")), "simhash-open")
+    size = F.lit(0) if sets is None else F.col("size")
+    filed = _patterns(fps.select("id", "fp", "root", size.cast("long").alias("size")), masks).join(few, ["t", "key"], "left_semi")
+    filed = materialize(filed, "simhash-cut-patterns")
+    counts = filed.groupBy("t", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    tops = counts.groupBy("t", "key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+                                          F.count("*").alias("roots")).filter("roots > 1")
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / part, size / HELD)).cast("int")
+
+    tops = materialize(tops.select("t", "key", F.col("top.root").alias("top"), parts(F.col("top.n"), F.col("top.size")).alias("tops"),
+                                   parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others")), "simhash-open")
     joined = filed.join(tops, ["t", "key"])
+    if sets is not None:
+        joined = materialize(joined, "simhash-met-again")
+        joined = joined.join(materialize(sets(joined.select("id").distinct()), "simhash-sets").withColumnRenamed("sid", "id"), "id")
     # groups (i, j): part i of the others with part j of the others (j >= i) or, numbered from ``others`` on, of the top root
     hashed = F.xxhash64("id", "t", F.lit(3))
     other = F.col("root") != F.col("top")
@@ -473,7 +513,8 @@ def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART
     groups = F.when(F.col("root") != F.col("top"), F.transform(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1), lambda j: F.struct(
         F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).otherwise(F.transform(
             F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    dealt = joined.select("t", "key", "own", "id", "fp", "root", F.inline(groups)).withColumn("g", F.xxhash64("t", "key", "i", "j"))
+    of_set = [] if sets is None else ["n", "signature", "hashes"]
+    dealt = joined.select("t", "key", "own", "id", "fp", "root", *of_set, F.inline(groups)).withColumn("g", F.xxhash64("t", "key", "i", "j"))
 
     def run(batches):
         import pyarrow as pa
@@ -508,12 +549,17 @@ def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART
             left = start + np.flatnonzero(own[start:end] == i[start])
             right = left if (own[start:end] == i[start]).all() else start + np.flatnonzero(own[start:end] != i[start])
             word = fp[:, masks[t[start]][0]]
+            confirm = None if not of_set else ties(root[start:end], *(table.column(c).slice(start, end - start) for c in of_set), percent)
             for at in range(0, len(left), max(1, PAIRS // max(1, len(right)))):
                 rows = left[at:at + max(1, PAIRS // max(1, len(right)))]
                 x, y = np.nonzero((np.bitwise_count(word[rows][:, None] ^ word[right]) <= radius) & (root[rows][:, None] != root[right]))
                 x, y = rows[x], right[y]
                 kept = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= verify
-                x, y = ids[x[kept]], ids[y[kept]]
+                x, y = x[kept], y[kept]
+                if confirm is not None:
+                    kept = confirm(x - start, y - start)
+                    x, y = x[kept], y[kept]
+                x, y = ids[x], ids[y]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
@@ -521,6 +567,34 @@ def further(fps: DataFrame, cuts: DataFrame, similarity: float, part: int = PART
     return dealt.repartition(width, "g").sortWithinPartitions("g", "t", "key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def ties(root: np.ndarray, n, signatures, hashes, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For the members of one group (components and Arrow columns of their sets) a function that takes pairs of places and tells which of
+    them are links. A pair between components that an earlier link has tied is none."""
+    n, signatures, hashes = n.to_numpy(), signatures.to_pylist(), hashes.to_pylist()
+    up = np.unique(root, return_inverse=True)[1]
+    above = list(range(len(root)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    def confirm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(x), bool)
+        for at in np.flatnonzero(100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])):
+            i, j = int(x[at]), int(y[at])
+            a, b = top(int(up[i])), top(int(up[j]))
+            if a != b and possible(int(n[i]), int(n[j]), signatures[i], signatures[j], percent):
+                own, other = np.frombuffer(hashes[i], np.uint64), np.frombuffer(hashes[j], np.uint64)
+                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                if enough(int((own[place] == other).sum()), int(n[i]), int(n[j]), percent):
+                    kept[at] = True
+                    above[max(a, b)] = min(a, b)
+        return kept
+
+    return confirm
+
+
 def closest(pairs: np.ndarray, fp: np.ndarray, nearest: int) -> np.ndarray:
     """Of pairs of places, those where one is among the other's ``nearest`` by differing bits (ties to the smaller place), once each."""
     keys = [np.zeros(0, np.int64)]  # place, differing bits (256 at most) and the other's place in one number
@@ -560,27 +634,28 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = PIPELINE
 
     Candidates are found by fingerprints of 4 x 64 bits over five-word shingles (``candidates``), then confirmed: a link needs a Jaccard
     similarity of ``percent`` in a hundred of the exact shingle sets. Where members of a pattern have more partners than are met at first,
-    all pairs of those that are not tied yet follow (``further``). Equal fingerprints are one. Of each group the row with the smallest
+    all pairs of those that are not tied yet are confirmed where they meet (``further``). Equal fingerprints are one. Of each group the row with the smallest
     doc_id stays (nulls last; of repeated rows the first). Null, empty and blank texts are one group. Empty table: no rows.
     """
     rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "simhash-rows")
     texts = rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    marked = materialize(fingerprints(texts, ["id", "doc_id"], "text", shingle, WORDS), "simhash-fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
+    sized = texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    marked = materialize(fingerprints(sized, ["id", "doc_id", "size"], "text", shingle, WORDS), "simhash-fingerprints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("least")).select("fp", "least.*"), "simhash-distinct")
     pairs, cuts = candidates(distinct, percent / 100)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        named = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-        sets = shingle_sets(texts.join(bounded_broadcast(materialize(named, "simhash-named"), 500_000), "id", "left_semi"), shingle)
-        return materialize(verified(pairs, materialize(sets.filter("n > 0"), "simhash-sets"), percent), "simhash-links")
+    def sets_of(named: DataFrame) -> DataFrame:
+        own = texts.join(bounded_broadcast(materialize(named, "simhash-named"), 500_000), "id", "left_semi")
+        return shingle_sets(own, shingle).filter("n > 0")
 
-    links = confirmed(pairs)
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    links = materialize(verified(pairs, materialize(sets_of(ends), "simhash-sets"), percent), "simhash-links")
     found = components(links)
     if cuts.limit(1).count():  # partners that the nearest ones didn't tie already
-        rooted = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"))
-        more = materialize(further(materialize(rooted, "simhash-rooted"), cuts, percent / 100), "simhash-further")
+        rooted = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"), "size")
+        more = materialize(further(materialize(rooted, "simhash-rooted"), cuts, percent / 100, sets=sets_of, percent=percent), "simhash-further")
         if more.limit(1).count():
-            found = components(links.unionAll(confirmed(more)))
+            found = components(links.unionAll(more))
     classes_ = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("class"))
     first = marked.join(classes_, F.col("fp") == F.col("_fp")).groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
