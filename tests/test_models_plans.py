@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from warywire.operators import explain as EX
 from warywire.operators import features as FE
 from warywire.operators import models as M
 from warywire.operators import ordered as O
@@ -161,3 +162,21 @@ def test_permuting_inputs_of_a_linear_model_scores_no_text_again(spark, sf, monk
     monkeypatch.setattr(M, "score", None)
     found = {r.feature: r.importance_mean for r in Q.permutation_importance_model(spark, sf).collect()}
     assert set(found) == {"platform", "message_type", "message_text"} and found["message_text"] > 0.2
+
+
+def test_two_contributions_of_a_flag_are_in_the_plan(spark, sf):
+    """Values as by row, null where the flag is, and no rounding or interpreted comparison left for the rows."""
+    flags = list(EX.SCORE_WEIGHTS)
+    rows = FE.final_features(messages(spark, sf)).select("message_id", *flags)
+    rows = rows.withColumn(flags[0], F.when(F.col("message_id") % 7 != 3, F.col(flags[0])))
+    means = EX.flag_means(rows)
+    for digits in (None, 9):
+        found = EX.contributions(rows, means, digits)
+        by_row = [(F.col(c).cast("int") - F.lit(means[c])) * EX.SCORE_WEIGHTS[c] for c in flags]
+        by_row = by_row if digits is None else [F.round(v, digits) for v in by_row]
+        held = F.map_from_entries("contributions")
+        apart = [~held[c].eqNullSafe(v) for c, v in zip(flags, by_row)]
+        assert found.filter(F.array_contains(F.array(*apart), True)).count() == 0
+    assert found.filter(held[flags[0]].isNull()).count() > 0
+    plan = EX.top_contributions(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "array_sort" not in plan

@@ -21,17 +21,22 @@ def flag_means(features: DataFrame) -> dict[str, float]:
     return {c: row[c] or 0.0 for c in SCORE_WEIGHTS}
 
 
-def contributions(features: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
+def contributions(features: DataFrame, means: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
     """Adds base and contributions: array<struct<feature, contribution>> in feature order.
 
     The rule score is linear in its flags, so w * (x - E[x]) is the exact additive
     explanation: contributions sum to score - base. Features outside the score get 0.
+    A flag has two contributions, so both are computed (and rounded to ``digits``) in the plan, not in every row.
     """
     means = means or flag_means(features)
 
+    def given(name: str, x: float) -> Column:
+        value = F.lit((x - means[name]) * SCORE_WEIGHTS[name])
+        return value if digits is None else F.round(value, digits)
+
     def one(name: str) -> Column:
         if name in SCORE_WEIGHTS:
-            value = (F.col(name).cast("int") - F.lit(means[name])) * SCORE_WEIGHTS[name]
+            value = F.when(F.col(name), given(name, 1.0)).when(~F.col(name), given(name, 0.0))  # null stays null
         else:
             value = F.lit(0.0)
         return F.struct(F.lit(name).alias("feature"), value.alias("contribution"))
@@ -53,7 +58,7 @@ def top_contributions(explained: DataFrame, n: int = 10) -> DataFrame:
     """
     keyed = F.transform("contributions", lambda c: F.struct(
         (-F.abs(c["contribution"])).alias("k"), c["feature"].alias("feature"), c["contribution"].alias("contribution")))
-    best = F.slice(F.array_sort(keyed), 1, n)
+    best = F.slice(F.sort_array(keyed), 1, n)  # the natural order in generated code; array_sort interprets a comparison
     return explained.select("message_id", F.posexplode(best).alias("pos", "c")).select(
         "message_id", (F.col("pos") + 1).alias("rank"), F.col("c.feature").alias("feature"),
         F.col("c.contribution").alias("contribution"))
