@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, materialize
+from ..session import bounded_broadcast, discard, materialize
 from .common import bounded_rows
 from .components import components
 from .jaccard import Hasher, enough, possible, signature, verified
@@ -649,7 +649,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = PIPELINE
         return shingle_sets(own, shingle).filter("n > 0")
 
     ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    links = materialize(verified(pairs, materialize(sets_of(ends), "simhash-sets"), percent), "simhash-links")
+    sets = materialize(sets_of(ends), "simhash-sets")
+    links = materialize(verified(pairs, sets, percent), "simhash-links")
+    discard(sets)  # the open patterns' sets, which may be as many, come after them
     found = components(links)
     if cuts.limit(1).count():  # partners that the nearest ones didn't tie already
         rooted = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"), "size")
