@@ -7,10 +7,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from warywire.operators import models as M
 from warywire.operators import text_search as TS
 from warywire.operators import training as TN
 from warywire.operators import vectorize as VZ
+from warywire.plans import evaluation_queries as EQ
 from warywire.plans import model_queries as Q
+from warywire.session import spread
 
 CORPUS = "id long, document string, platform string, risk_level string"
 
@@ -208,3 +211,18 @@ def test_the_index_numbers_texts_and_keeps_no_wide_tables(spark):
         for e in r.entries:
             norms[e.text] = norms.get(e.text, 0.0) + e.weight ** 2
     assert set(norms) == set(by) and all(v == pytest.approx(1.0) for v in norms.values())
+
+
+def test_training_rows_lie_in_even_parts_whatever_the_input_lay_in(spark):
+    """Before, rows written from one part were trained on in one task."""
+    rows = EQ.labelled(spark, "/root/testdata/sf0.01").coalesce(1)  # 10,000 rows
+    for prepare in (M.prepared, lambda df: TN.notebook_rows(df, "v3"), TN.text_rows):
+        sizes = [r["count"] for r in prepare(rows).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 10_000 and len(sizes) == 2 and max(sizes) < 1.2 * min(sizes)
+
+
+def test_spread_gives_the_same_rows_in_the_same_order(spark):
+    rows = spark.range(50_000).withColumnRenamed("id", "message_id")
+    parts = [[[r[0] for r in p] for p in spread(df).rdd.glom().collect()] for df in (rows.coalesce(1), rows.repartition(7))]
+    assert parts[0] == parts[1] and len(parts[0]) == 8 and sorted(sum(parts[0], [])) == list(range(50_000))
+    assert spread(rows, most=1_000).rdd.getNumPartitions() == 56 and spread(rows.limit(10)).rdd.getNumPartitions() == 1
