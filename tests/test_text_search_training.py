@@ -226,3 +226,19 @@ def test_spread_gives_the_same_rows_in_the_same_order(spark):
     parts = [[[r[0] for r in p] for p in spread(df).rdd.glom().collect()] for df in (rows.coalesce(1), rows.repartition(7))]
     assert parts[0] == parts[1] and len(parts[0]) == 8 and sorted(sum(parts[0], [])) == list(range(50_000))
     assert spread(rows, most=1_000).rdd.getNumPartitions() == 56 and spread(rows.limit(10)).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("n", [(1, 2), (1, 3)])
+def test_terms_left_out_before_counting_are_never_among_the_most_frequent(spark, n):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(0, 12))) for _ in range(200)] + [None, "w0 w0 w0 w0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "message_id long, message_text string")
+    every = VZ.with_terms(df, n=n, stop=())
+    total = every.agg(F.sum(F.size("terms"))).first()[0]
+    for size, min_df in ((3, 1), (10, 2), (10, 20), (39, 1)):
+        some = VZ.with_frequent_terms(df, n=n, stop=(), size=size, min_df=min_df)
+        assert VZ.vocabulary(some, size, min_df).collect() == VZ.vocabulary(every, size, min_df).collect()
+        assert size > 30 or some.agg(F.sum(F.size("terms"))).first()[0] < total
+    for whole in ({"size": 41}, {"size": 10, "max_words": 5}):  # no bound from fewer words; too many words to send along
+        assert VZ.with_frequent_terms(df, n=n, stop=(), **whole).agg(F.sum(F.size("terms"))).first()[0] == total

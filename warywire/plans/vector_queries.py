@@ -41,6 +41,11 @@ def doc_terms(spark, sf_dir, **kw):
     return VZ.with_terms(table(spark, sf_dir, "documents"), "text", **kw).select("doc_id", "terms")
 
 
+def frequent_terms(spark, sf_dir, size):
+    """``doc_terms`` less those that cannot be among the ``size`` most frequent."""
+    return VZ.with_frequent_terms(table(spark, sf_dir, "documents"), "text", size=size).select("doc_id", "terms")
+
+
 @query("tokenize_ngrams", f"WITH {terms_sql(*DOCS, 2)} SELECT id AS doc_id, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct FROM docs")
 def tokenize_ngrams(spark, sf_dir):
     terms = doc_terms(spark, sf_dir)
@@ -55,7 +60,7 @@ def tokenize_ngrams_messages(spark, sf_dir):
 
 @query("tfidf_vocabulary", f"WITH {terms_sql(*DOCS, 2)}, {vocab_sql(200)} SELECT * FROM vocab")
 def tfidf_vocabulary(spark, sf_dir):
-    return VZ.vocabulary(doc_terms(spark, sf_dir), 200)
+    return VZ.vocabulary(frequent_terms(spark, sf_dir, 200), 200)
 
 
 @query("tfidf_vocabulary_trigrams", f"WITH {MESSAGES_SQL}, {terms_sql(*MSGS, 3)}, {vocab_sql(100)} SELECT * FROM vocab")
@@ -71,8 +76,8 @@ def tfidf_vocabulary_large(spark, sf_dir):
 @query("tfidf_weights", f"""WITH {terms_sql(*DOCS, 2)}, {vocab_sql(200)}, {WEIGHTS_SQL}
  SELECT id AS doc_id, term, round(weight, 6) AS weight FROM weights""")
 def tfidf_weights(spark, sf_dir):
-    terms = doc_terms(spark, sf_dir)
-    return tidy(VZ.tfidf(terms, VZ.tfidf_model(terms), "doc_id"))
+    terms = frequent_terms(spark, sf_dir, 200)
+    return tidy(VZ.tfidf(terms, VZ.tfidf_model(terms, 200), "doc_id"))
 
 
 @query("tfidf_weights_messages", f"""WITH {MESSAGES_SQL}, {terms_sql(*MSGS, 3)}, {vocab_sql(100)}, {WEIGHTS_SQL}
