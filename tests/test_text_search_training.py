@@ -242,3 +242,20 @@ def test_terms_left_out_before_counting_are_never_among_the_most_frequent(spark,
         assert size > 30 or some.agg(F.sum(F.size("terms"))).first()[0] < total
     for whole in ({"size": 41}, {"size": 10, "max_words": 5}):  # no bound from fewer words; too many words to send along
         assert VZ.with_frequent_terms(df, n=n, stop=(), **whole).agg(F.sum(F.size("terms"))).first()[0] == total
+
+
+def test_no_session_setting_cuts_the_numbers_of_trees(spark, sf, monkeypatch):
+    assert spark.conf.get("spark.warywire.rounds.divisor") == "50"  # what sessions once divided them by
+    asked = {}
+    monkeypatch.setattr(Q, "_CACHE", {})
+    monkeypatch.setattr(Q, "kept", lambda spark, sf_dir, name, settings, fit: asked.setdefault(name, dict(settings)))
+    for kind in Q.M.SETTINGS:
+        Q.trained(spark, sf, kind)
+        assert asked[kind] == Q.M.SETTINGS[kind]
+    for version, balanced in (("v1", True), ("v2", True), ("v3", True), ("v3", False)):
+        Q.notebook(spark, sf, version, balanced)
+        assert asked[f"gbt-{version}-{'balanced' if balanced else 'plain'}"] == (TN.BALANCED if balanced else TN.PLAIN)
+    models = []
+    monkeypatch.setattr(TN, "compare", lambda df, settings, k: models.append((settings, k)) or df.limit(1))
+    Q.cross_validated(spark, sf)
+    assert models == [(TN.COMPARED, 5)]
