@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -259,3 +261,39 @@ def test_no_session_setting_cuts_the_numbers_of_trees(spark, sf, monkeypatch):
     monkeypatch.setattr(TN, "compare", lambda df, settings, k: models.append((settings, k)) or df.limit(1))
     Q.cross_validated(spark, sf)
     assert models == [(TN.COMPARED, 5)]
+
+
+def test_building_an_index_leaves_no_shuffle_files_and_shuffles_a_part_of_the_postings_at_a_time(spark, sf):
+    """Before, all postings were shuffled twice, and those files lay there until the driver collected garbage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("lang").alias("platform"), F.lit("low").alias("risk_level"))
+    places, largest = disk_files(spark), []
+    write = TS.materialize
+
+    def watched(df, name="step", **how):
+        held = places()
+        out = write(df, name, **how)
+        largest.append((name, how.get("clean"), places() - held))
+        return out
+
+    TS.materialize, before = watched, places()
+    try:
+        whole, parted = TS.build_index(docs, parts=1), TS.build_index(docs, parts=4)
+    finally:
+        TS.materialize = write
+    for _ in range(50):  # files go in the background
+        if places() <= before:
+            break
+        time.sleep(0.2)
+    assert places() <= before and all(clean for _, clean, _ in largest)
+    assert [n for n, _, _ in largest].count("text-postings") == 5
+    rows = [{(r.term, r.block, round(r.most, 9), tuple(sorted((e.text, round(e.weight, 9)) for e in r.entries))) for r in i.postings.collect()}
+            for i in (whole, parted)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def disk_files(spark):
+    """A function that counts the bytes of shuffle files this session's process holds."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return lambda: sum(os.path.getsize(os.path.join(at, f)) for folder in manager.localDirsString()
+                       for at, _, files in os.walk(folder) for f in files if f.startswith("shuffle_") and os.path.exists(os.path.join(at, f)))
